@@ -74,3 +74,15 @@ def maybe_in(df: DataFrame, key: str, bits: DataFrame) -> DataFrame:
     df = df.join(F.broadcast(bits.select(F.col("bucket").alias("__lk_bucket"), F.col("bits").alias("__lk_bits"))), "__lk_bucket")
     byte = F.expr("cast(conv(hex(substring(__lk_bits, cast(__lk_at div 8 as int) + 1, 1)), 16, 10) as int)")
     return df.where(F.call_function("bit_get", byte, F.expr("cast(__lk_at % 8 as int)")) == 1).select(*kept)
+
+
+def written_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Writes df to the shared folder in buckets of key, one for each shuffle partition; rows are not moved.
+
+    Two such tables, or one and an aggregate by key, join on key without moving their rows again.
+    """
+    spark = df.sparkSession
+    table = f"larkspur_{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.options(path=table_path(spark, name), compression="zstd").bucketBy(n, key).format("parquet").saveAsTable(table)
+    return spark.table(table)

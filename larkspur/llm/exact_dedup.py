@@ -63,13 +63,14 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", digest: Callable[[Colum
     index.flush(docs)
     level1 = index.compact()
     hits = level1.where("n > 1").select("digest")
-    # only the texts of hits move; equal bytes meet in the map-side aggregation first
-    bodies = maybe_in(index.keyed(docs), "digest", key_bits(hits, "digest")).join(hits, "digest", "left_semi")
+    # only the texts of hits move, and of the few strangers that pass the filter, which stay groups of one; equal bytes
+    # meet in the map-side aggregation first
+    bodies = maybe_in(index.keyed(docs), "digest", key_bits(hits, "digest"))
     classes = written(bodies.groupBy("digest", "body").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest"), F.count("*").alias("n")), "classes")
     by_digest = classes.groupBy("digest").agg(F.count("*").alias("k"), F.min("smallest").alias("smallest"), F.max("largest").alias("largest"), F.sum("n").alias("n"))
     collided = by_digest.where("k > 1").select("digest")
     entries = index.entries()
-    out = entries.join(by_digest, "digest", "left").where("k is null or k = 1").select("doc_id", "sha", *_chosen(keep))
+    out = entries.join(by_digest.hint("merge"), "digest", "left").where("k is null or k = 1").select("doc_id", "sha", *_chosen(keep))
     if not collided.isEmpty():
         exact = index.keyed(docs).join(collided, "digest", "left_semi").join(classes, ["digest", "body"])
         sha = F.unhex(F.sha2("body", 256)).alias("sha")

@@ -7,6 +7,7 @@ array by word number.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import written_by
 
 #: Text in a block; a longer document is a block of its own.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 
 SCHEMA = "block long, words array<binary>, counts array<long>, doc_ids array<long>, marks array<boolean>, sizes array<int>, at binary"
 
@@ -44,18 +45,19 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def _block(number: int, table: Numbers, ids: list, marks: list, sizes: list[int], at: list[np.ndarray]) -> pa.RecordBatch:
-    flat = np.concatenate(at) if at else np.zeros(0, np.int64)
+    flat = np.concatenate(at)
+    at.clear()
     counts = np.bincount(flat, minlength=len(table))
     order = np.argsort(-counts, kind="stable")  # small numbers for frequent words
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    own = np.repeat(np.array([bool(m) for m in marks], bool), sizes)
-    marked = np.bincount(flat[own], minlength=len(table))[order]
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order), dtype=np.uint32)
+    marked = counts if all(marks) else np.bincount(flat[np.repeat(np.array(marks, bool), sizes)], minlength=len(table))
     words = list(table)
+    table.clear()
     columns = [
         pa.array([number], pa.int64()),
         pa.array([[words[i] for i in order]], pa.list_(pa.binary())),
-        pa.ListArray.from_arrays(pa.array([0, len(marked)], pa.int32()), pa.array(marked, pa.int64())),
+        pa.ListArray.from_arrays(pa.array([0, len(marked)], pa.int32()), pa.array(marked[order], pa.int64())),
         pa.array([ids], pa.list_(pa.int64())),
         pa.array([marks], pa.list_(pa.bool_())),
         pa.array([sizes], pa.list_(pa.int32())),
@@ -81,7 +83,7 @@ def to_blocks(docs: DataFrame, splitter: Callable[[], Callable[[str], list]], na
                     yield _block(number, table, ids, marks, sizes, at)
                     number, table, ids, marks, sizes, at, used = number + 1, Numbers(), [], [], [], [], 0
                 words = split(text)
-                at.append(np.fromiter(map(table.__getitem__, words), np.int64, len(words)))
+                at.append(np.fromiter(map(table.__getitem__, words), np.uint32, len(words)))
                 ids.append(doc_id)
                 marks.append(mark)
                 sizes.append(len(words))
@@ -93,6 +95,42 @@ def to_blocks(docs: DataFrame, splitter: Callable[[], Callable[[str], list]], na
     return written_by(rows.mapInArrow(run, SCHEMA), name, "block")
 
 
+def dealt(blocks: DataFrame, parts: int) -> DataFrame:
+    """Words of all blocks dealt to parts by their hash, so that all blocks' rows of a word meet in one task.
+
+    One row for each part and block: part, block, nos, words, counts, packed (see opened()).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words, counts = batch[1][i].as_py(), batch[2][i].values.to_numpy(zero_copy_only=False)
+                part = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % parts
+                order = np.argsort(part, kind="stable")
+                ends = np.searchsorted(part[order], np.arange(parts + 1))
+                own = [order[a:b] for a, b in zip(ends[:-1], ends[1:])]
+                some = [k for k in range(parts) if len(own[k])]
+                press = zstandard.ZstdCompressor(level=3).compress
+                columns = [
+                    pa.array(some, pa.int32()),
+                    pa.array([batch[0][i].as_py()] * len(some), pa.int64()),
+                    pa.array([packed(own[k]) for k in some], pa.binary()),
+                    pa.array([press(b"\n".join([words[j] for j in own[k]])) for k in some], pa.binary()),
+                    pa.array([packed(counts[own[k]]) for k in some], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "nos", "words", "counts"])
+
+    rows = blocks.select("block", "words", "counts").mapInArrow(run, "part int, block long, nos binary, words binary, counts binary")
+    return rows.repartition(parts, "part")
+
+
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes, list[bytes], np.ndarray]]:
+    """Rows of dealt(): part, block, the packed numbers, the words and their counts."""
+    for batch in batches:
+        for part, block, nos, words, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            yield part, block, nos, zstandard.ZstdDecompressor().decompress(words).split(b"\n"), unpacked(counts)
+
+
 def by_document(sizes: np.ndarray) -> np.ndarray:
     """Where each document of a block begins and the last one ends."""
     return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.blocks import by_document, to_blocks, unpacked
+from larkspur.llm.blocks import by_document, dealt, opened, packed, to_blocks, unpacked
 
 #: Marks a special token among the words; no word holds a blank.
 SPECIAL = b" "
@@ -72,11 +73,9 @@ def vocabulary(spark: SparkSession, spec: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
-    """One row per row of docs: doc_id, ids array<int>, decoded string.
+    """One row per row of docs: doc_id, ids array<int>, those of the tokenizers library without added special tokens.
 
-    ids are those of the tokenizers library without added special tokens, decoded its decode(ids) with special tokens
-    kept: the pieces joined by blanks. Null and empty texts give no ids and an empty text. Rows that repeat a doc_id
-    are encoded one by one; other columns are ignored.
+    Null and empty texts give no ids. Rows that repeat a doc_id are encoded one by one; other columns are ignored.
     """
     spark = docs.sparkSession
     spec = Path(tokenizer_file).read_text(encoding="utf-8")
@@ -88,52 +87,52 @@ def encode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
 
         tok = Tokenizer.from_str(shared.value)
         known: dict[bytes, list[int]] = {}
-        for batch in batches:
-            words = batch[2].to_pylist()
-            new = list({w for w in words if w not in known})
+        for _, block, nos, words, _ in opened(batches):
+            new = [w for w in words if w not in known]
             plain = [w for w in new if w[:1] != SPECIAL]
-            known.update(zip(plain, (e.ids for e in tok.encode_batch([w.decode() for w in plain], add_special_tokens=False))))
+            for a in range(0, len(plain), 4096):
+                known.update(zip(plain[a : a + 4096], (e.ids for e in tok.encode_batch([w.decode() for w in plain[a : a + 4096]], add_special_tokens=False))))
             known.update((w, [tok.token_to_id(w[1:].decode())]) for w in new if w[:1] == SPECIAL)
-            yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array([known[w] for w in words], pa.list_(pa.int32()))], names=["block", "no", "ids"])
+            ids = [known[w] for w in words]
+            lengths = np.fromiter(map(len, ids), np.uint32, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in (nos, packed(lengths), packed(flat)))], names=["block", "nos", "lengths", "ids"])
 
-    # all occurrences of a word meet here: one row for each block that has it
-    uses = blocks.select("block", F.posexplode("words").alias("no", "word")).repartition("word").sortWithinPartitions("word")
-    table = uses.mapInArrow(encoded, "block long, no int, ids array<int>")
-    table = table.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("found"))
-    pieces = F.broadcast(vocabulary(spark, spec))
-    table = table.withColumn("page", F.when(F.size("found") >= 0, F.lit(0))).join(pieces, "page").select("block", F.transform("found", lambda w: w["ids"]).alias("ids"), F.transform("found", lambda w: F.array_join(F.transform(w["ids"], lambda i: F.get("pieces", i)), " ")).alias("text"))
-    rows = blocks.select("block", "doc_ids", "sizes", "at").join(table, "block", "left")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = dealt(blocks, parts).mapInArrow(encoded, "block long, nos binary, lengths binary, ids binary")
+    table = table.groupBy("block").agg(F.collect_list(F.struct("nos", "lengths", "ids")).alias("found"))
+    rows = blocks.select("block", "doc_ids", "sizes", "at").join(table.hint("merge"), "block", "left")
 
     def laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                sizes = np.asarray(batch[2][i].values, np.int64)
-                at, starts = unpacked(batch[3][i].as_py()), by_document(sizes)
-                ids = batch[4][i].values
-                text = batch[5][i].as_py() or []
-                flat = np.zeros(0, np.int32) if ids is None else ids.flatten().to_numpy(zero_copy_only=False)
-                lengths = np.zeros(0, np.int64) if ids is None else ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                begin = np.cumsum(lengths) - lengths
-                doc_ids = batch[1][i].values
+                sizes = np.asarray(batch[1][i].values, np.int64)
+                at, starts = unpacked(batch[2][i].as_py()), by_document(sizes)
+                nos, lengths, flat = (np.concatenate([np.zeros(0, np.int64), *(unpacked(x[k]) for x in batch[3][i].as_py() or [])]) for k in ("nos", "lengths", "ids"))
+                begin, size = np.zeros(len(nos), np.int64), np.zeros(len(nos), np.int64)
+                begin[nos], size[nos] = np.cumsum(lengths) - lengths, lengths
+                flat = flat.astype(np.int32)
+                doc_ids = batch[0][i].values
                 for a in range(0, len(sizes), 256):
                     b = min(a + 256, len(sizes))
                     own = at[starts[a] : starts[b]]
-                    n = lengths[own]
+                    n = size[own]
                     ends = np.concatenate([[0], np.cumsum(n)])
                     where = np.repeat(begin[own] - ends[:-1], n) + np.arange(ends[-1])
-                    offsets = ends[starts[a : b + 1] - starts[a]]
-                    numbers = own.tolist()
-                    decoded = [" ".join(map(text.__getitem__, numbers[x:y])) for x, y in zip(starts[a:b] - starts[a], starts[a + 1 : b + 1] - starts[a])]
-                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[where], pa.int32()))
-                    yield pa.RecordBatch.from_arrays([doc_ids.slice(a, b - a), lists, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+                    lists = pa.ListArray.from_arrays(pa.array(ends[starts[a : b + 1] - starts[a]], pa.int32()), pa.array(flat[where], pa.int32()))
+                    yield pa.RecordBatch.from_arrays([doc_ids.slice(a, b - a), lists], names=["doc_id", "ids"])
 
-    return rows.select("block", "doc_ids", "sizes", "at", "ids", "text").mapInArrow(laid_out, "doc_id long, ids array<int>, decoded string")
+    return rows.select("doc_ids", "sizes", "at", "found").mapInArrow(laid_out, "doc_id long, ids array<int>")
 
 
 def decode(ids: DataFrame, tokenizer_file: str) -> DataFrame:
-    """doc_id and text for any rows of (doc_id, ids array<int>), by the id-to-piece join; unknown ids are left out."""
+    """Any rows with a column ids array<int>, and the text that decode(ids) of the library gives, special tokens kept.
+
+    The pieces of the ids joined by blanks, through a join with the id-to-piece table; ids that the vocabulary doesn't
+    have are left out, null ids give an empty text.
+    """
     spec = Path(tokenizer_file).read_text(encoding="utf-8")
-    pieces = F.broadcast(vocabulary(ids.sparkSession, spec))
-    rows = ids.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    rows = rows.withColumn("page", F.when(F.size("ids") >= 0, F.lit(0))).join(pieces, "page")
-    return rows.select("doc_id", F.array_join(F.transform("ids", lambda i: F.get("pieces", i)), " ").alias("text"))
+    pieces = vocabulary(ids.sparkSession, spec).select(F.col("page").alias("__lk_page"), F.col("pieces").alias("__lk_pieces"))
+    rows = ids.withColumn("__lk_page", F.when(F.coalesce(F.size("ids"), F.lit(0)) >= -1, F.lit(0))).join(F.broadcast(pieces), "__lk_page")
+    text = F.array_join(F.transform(F.coalesce("ids", F.array().cast("array<int>")), lambda i: F.get("__lk_pieces", i)), " ")
+    return rows.select(*ids.columns, text.alias("decoded"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, exact_dedup, licenses, mixing, secrets, suffix_tree_lm
+from larkspur.llm import bpe, exact_dedup, language_id, licenses, mixing, secrets, suffix_tree_lm
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return language_id.identify(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.license_scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), F.array_join("matches", ",").alias("matches"), "n_licenses")
@@ -28,7 +34,7 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_file())
+    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), tokenizer_file()), tokenizer_file())
     ids = F.array_join("ids", " ")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -51,7 +57,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_license_scan, op6_bpe, op8_suffix_tree_lm, op9_mix_sources, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_language_id, op5_license_scan, op6_bpe, op8_suffix_tree_lm, op9_mix_sources, op10_secret_scan)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """

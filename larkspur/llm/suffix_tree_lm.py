@@ -13,20 +13,20 @@ aggregated row for each block and context.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspur.llm.blocks import by_document, to_blocks, unpacked
+from larkspur.llm.blocks import by_document, dealt, opened, packed, to_blocks, unpacked
 from larkspur.llm.common import written, written_by
 
 #: Separates nothing and is no word: the token that ends every text, and the past of its first word.
-END = b"\n"
+END = b""
 
 
 @dataclass
@@ -116,6 +116,16 @@ def grow(tree: Tree, codes: np.ndarray, counts: np.ndarray, contexts: np.ndarray
     tree.levels.append(Level(codes, counts.astype(float), state, total, mass))
 
 
+def _row(*values) -> pa.RecordBatch:
+    part, block, nos, c, symbol, frequent, totals, known = values
+    types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.int64())
+    cells = (part, block, nos, *(None if x is None else packed(x) for x in (c, symbol)), frequent, totals, known)
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(cells, types)], names=["part", "block", "nos", "c", "symbol", "frequent", "totals", "known"])
+
+
+TOTALS = "part int, block long, nos binary, c binary, symbol binary, frequent array<binary>, totals array<long>, known long"
+
+
 def lm_score(docs: DataFrame, train, depth: int = 3, p_min: float = 2e-5, discount: float = 0.75, strictness: float = 2.0) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score (log10, of the whole text).
 
@@ -126,19 +136,44 @@ def lm_score(docs: DataFrame, train, depth: int = 3, p_min: float = 2e-5, discou
     """
     spark = docs.sparkSession
     blocks = to_blocks(docs.select("doc_id", "text", train.alias("mark")), splitter, "lm")
-    uses = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("no", "w")).select("block", "no", "w.words", "w.counts")
-    uses = written(uses.withColumn("c", F.sum("counts").over(W.partitionBy("words"))).withColumn("one", F.row_number().over(W.partitionBy("words").orderBy("block")) == 1), "counted")
-    tokens, known = uses.where("one and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    tokens = int(blocks.agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0)
     least = max(2, int(np.ceil(p_min * tokens)))
-    # at most 1 / p_min words are that frequent
-    frequent = uses.where((F.col("one") & (F.col("c") >= least)) | (F.col("one") & (F.col("words") == F.lit(END)))).select("words", "c").orderBy(F.col("c").desc(), "words").collect()
-    number = {bytes(w): i for i, (w, _) in enumerate(frequent)}
-    end, symbols = number.get(END, 0), max(len(number), 1)
-    table = spark.createDataFrame([(w, i) for w, i in number.items()], "words binary, symbol int")
-    uses = uses.join(F.broadcast(table), "words", "left").select("block", "no", "c", F.coalesce("symbol", F.lit(-1)).alias("symbol"))
-    found = uses.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("no", "c", "symbol"))).alias("w"))
-    found = written_by(found.select("block", F.transform("w", lambda w: w["c"]).alias("c"), F.transform("w", lambda w: w["symbol"]).alias("symbol")), "lm_words", "block")
-    rows = blocks.select("block", "doc_ids", "marks", "sizes", "at").join(found, "block").select("doc_ids", "marks", "sizes", "at", "c", "symbol")
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The part's words in training documents, the frequent ones by name; then each block's totals and symbols."""
+        held, total, part = [], defaultdict(int), None
+        for part, block, nos, words, counts in opened(batches):
+            held.append((part, block, nos, words))
+            for w, n in zip(words, counts.tolist()):
+                total[w] += n
+        by_part = defaultdict(list)
+        for p, block, nos, words in held:
+            by_part[p].append((block, nos, words))
+        for p, rows in by_part.items():
+            own = dict.fromkeys(w for _, _, words in rows for w in words)
+            frequent = [w for w in sorted(own) if total[w] >= least or w == END]
+            number = {w: i for i, w in enumerate(frequent)}
+            yield _row(p, None, None, None, None, frequent, [total[w] for w in frequent], sum(total[w] > 0 for w in own))
+            for block, nos, words in rows:
+                c = np.fromiter(map(total.__getitem__, words), np.int64, len(words))
+                symbol = np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
+                yield _row(p, block, nos, c, symbol + 1, None, None, None)
+
+    parts_ = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = written(dealt(blocks, parts_).mapInArrow(totals, TOTALS), "counted")
+    # at most 1 / p_min words are frequent, and the end
+    named = counted.where("block is null").select("part", "frequent", "totals", "known").orderBy("part").collect()
+    known = sum(r["known"] for r in named)
+    offsets, contexts, end = {}, [], 0
+    for r in named:
+        offsets[r["part"]] = len(contexts)
+        if END in map(bytes, r["frequent"]):
+            end = len(contexts) + [bytes(w) for w in r["frequent"]].index(END)
+        contexts += r["totals"]
+    contexts = np.array(contexts, np.int64)
+    symbols = max(len(contexts), 1)
+    found = counted.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("part", "nos", "c", "symbol")).alias("found"))
+    rows = blocks.select("block", "doc_ids", "marks", "sizes", "at").join(written_by(found, "lm_words", "block").hint("merge"), "block").select("doc_ids", "marks", "sizes", "at", "found")
     base = np.log10(tokens + 0.5 * (known + 1))
 
     def parts(batches: Iterator[pa.RecordBatch]):
@@ -146,13 +181,17 @@ def lm_score(docs: DataFrame, train, depth: int = 3, p_min: float = 2e-5, discou
             for i in range(batch.num_rows):
                 sizes = np.asarray(batch[2][i].values, np.int64)
                 starts, at = by_document(sizes), unpacked(batch[3][i].as_py())
-                c, symbol = (batch[k][i].values.to_numpy(zero_copy_only=False) for k in (4, 5))
+                found = [(offsets[x["part"]], *(unpacked(x[k]) for k in ("nos", "c", "symbol"))) for x in batch[4][i].as_py()]
+                c = np.zeros(sum(len(x[1]) for x in found), np.int64)
+                symbol = np.full(len(c), -1, np.int64)
+                for offset, nos, n, s in found:
+                    c[nos] = n
+                    symbol[nos[s > 0]] = s[s > 0] - 1 + offset
                 first = np.zeros(len(at), bool)
                 first[starts[:-1]] = True
-                yield batch[0][i].values, batch[1][i].values.to_numpy(zero_copy_only=False).astype(bool), sizes, starts, c[at], symbol[at].astype(np.int64), first
+                yield batch[0][i].values, batch[1][i].values.to_numpy(zero_copy_only=False).astype(bool), sizes, starts, c[at], symbol[at], first
 
     tree = Tree(symbols, discount, [])
-    contexts = np.array([c for _, c in frequent], np.int64)
     root = (contexts + 0.5) / (tokens + 0.5 * (known + 1))
     suffix: list[np.ndarray] = [np.zeros(0, np.int64)]  # by depth, each context's number one depth up, without its oldest word
     for d in range(depth):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, exact_dedup, language_id, licenses, mixing, secrets, suffix_tree_lm
+from larkspur.llm import bpe, exact_dedup, language_id, licenses, minhash, mixing, secrets, suffix_tree_lm
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.license_scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), F.array_join("matches", ",").alias("matches"), "n_licenses")
@@ -57,7 +61,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_language_id, op5_license_scan, op6_bpe, op8_suffix_tree_lm, op9_mix_sources, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_language_id, op4_minhash, op5_license_scan, op6_bpe, op8_suffix_tree_lm, op9_mix_sources, op10_secret_scan)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """

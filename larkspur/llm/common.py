@@ -68,12 +68,7 @@ def key_bits(keys: DataFrame, key: str) -> DataFrame:
 
 def maybe_in(df: DataFrame, key: str, bits: DataFrame) -> DataFrame:
     """Rows of df whose 64-bit column key may be in the filter: every row whose key is, and few others."""
-    at = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-    kept = df.columns
-    df = df.withColumns({"__lk_bucket": F.bitmap_bucket_number(at), "__lk_at": F.bitmap_bit_position(at)})
-    df = df.join(F.broadcast(bits.select(F.col("bucket").alias("__lk_bucket"), F.col("bits").alias("__lk_bits"))), "__lk_bucket")
-    byte = F.expr("cast(conv(hex(substring(__lk_bits, cast(__lk_at div 8 as int) + 1, 1)), 16, 10) as int)")
-    return df.where(F.call_function("bit_get", byte, F.expr("cast(__lk_at % 8 as int)")) == 1).select(*kept)
+    return maybe_flag(df, key, bits, "__lk_flag").where("__lk_flag").drop("__lk_flag")
 
 
 def written_by(df: DataFrame, name: str, key: str) -> DataFrame:
@@ -86,3 +81,14 @@ def written_by(df: DataFrame, name: str, key: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.options(path=table_path(spark, name), compression="zstd").bucketBy(n, key).format("parquet").saveAsTable(table)
     return spark.table(table)
+
+
+def maybe_flag(df: DataFrame, key: str, bits: DataFrame, flag: str) -> DataFrame:
+    """df with a boolean column flag: true where the 64-bit column key may be in the filter, false where it is not."""
+    at = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    kept = df.columns
+    df = df.withColumns({"__lk_bucket": F.bitmap_bucket_number(at), "__lk_at": F.bitmap_bit_position(at)})
+    df = df.join(F.broadcast(bits.select(F.col("bucket").alias("__lk_bucket"), F.col("bits").alias("__lk_bits"))), "__lk_bucket", "left")
+    byte = F.expr("cast(conv(hex(substring(__lk_bits, cast(__lk_at div 8 as int) + 1, 1)), 16, 10) as int)")
+    hit = F.call_function("bit_get", byte, F.expr("cast(__lk_at % 8 as int)")) == 1
+    return df.select(*kept, F.coalesce(hit, F.lit(False)).alias(flag))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, exact_dedup, language_id, licenses, minhash, mixing, secrets, suffix_tree_lm
+from larkspur.llm import bpe, exact_dedup, language_id, licenses, minhash, mixing, secrets, suffix_dedup, suffix_tree_lm
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -61,7 +66,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_language_id, op4_minhash, op5_license_scan, op6_bpe, op8_suffix_tree_lm, op9_mix_sources, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_language_id, op4_minhash, op5_license_scan, op6_bpe, op8_suffix_tree_lm, op9_mix_sources, op10_secret_scan)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, exact_dedup, language_id, licenses, minhash, mixing, secrets, suffix_dedup, suffix_tree_lm
+from larkspur.llm import bpe, exact_dedup, kd_search, language_id, licenses, minhash, mixing, secrets, suffix_dedup, suffix_tree_lm
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
@@ -66,7 +70,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_language_id, op4_minhash, op5_license_scan, op6_bpe, op8_suffix_tree_lm, op9_mix_sources, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_language_id, op4_minhash, op5_license_scan, op6_bpe, op7_kd_top_k, op8_suffix_tree_lm, op9_mix_sources, op10_secret_scan)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
@@ -74,4 +78,12 @@ ORACLE_SQL = {
         select doc_id, max(doc_id) over (partition by body) as keep_id, count(*) over (partition by body) as group_size,
                doc_id is not distinct from max(doc_id) over (partition by body) as kept, sha256(body) as text_sha256
         from t""",
+    "op7_kd_top_k": """
+        with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+                   where embedding is not null and vec_id is not null and len(embedding) > 0
+                     and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+             s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) as bigint) as score
+                   from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
+             r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+        select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10""",
 }

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 #: Bytes of a window, and the number that stands for no byte.
 WINDOW, PAD = 128, 256
@@ -227,25 +228,22 @@ def sample_windows(docs: DataFrame, learn: Column, sample_docs: int, per_doc: in
     return [(bytes(r["data"]), r["lang"]) for r in sorted(found, key=lambda r: (r["order"], r["lang"], r["at"]))]
 
 
-def identify(docs: DataFrame, learn: Column, sample_docs: int = 800, per_doc: int = 4, **training) -> DataFrame:
-    """One row per row of docs: doc_id, lang_pred, score.
-
-    The network learns from text and non-null lang of the rows that learn marks, at most about sample_docs of them
-    (4 of each language at least) with per_doc windows each; whole texts are labelled. lang_pred is the language with
-    the largest pooled probability, the score; `und` with score 0 where the text is null or has no letter, or where
-    there was nothing to learn from. Ties go to the first language in code-point order. Other columns are ignored.
-    """
+def labelled(docs: DataFrame, learn: Column, sample_docs: int = 800, per_doc: int = 4, **training) -> DataFrame:
+    """All rows and columns of docs with lang_pred and score (which replace columns of these names); see identify()."""
     spark = docs.sparkSession
     net = train(sample_windows(docs, learn, sample_docs, per_doc), **training)
     shared = spark.sparkContext.broadcast(net)  # a few 10 kB
+    docs = docs.drop("lang_pred", "score")
+    names_in = docs.columns
+    where = names_in.index("text")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
-            ids, texts, at = batch[0], batch[1], 0
-            while at < len(ids):
+            texts, at = batch[where], 0
+            while at < len(texts):
                 part, used, begin = [], 0, at
-                while at < len(ids) and (not part or used < 4 << 20):
+                while at < len(texts) and (not part or used < 4 << 20):
                     part.append(texts[at].as_py() or "")
                     used += len(part[-1])
                     at += 1
@@ -253,6 +251,24 @@ def identify(docs: DataFrame, learn: Column, sample_docs: int = 800, per_doc: in
                 p = pooled(net, [t.encode() if ok else b"" for t, ok in zip(part, lettered)]) if net else np.zeros((len(part), 1))
                 best = p.argmax(axis=1)
                 names = [net.languages[k] if ok and net else UNKNOWN for k, ok in zip(best, lettered)]
-                yield pa.RecordBatch.from_arrays([ids.slice(begin, len(part)), pa.array(names, pa.string()), pa.array(np.clip(p.max(axis=1), 0, 1), pa.float64())], names=["doc_id", "lang_pred", "score"])
+                rows = batch.slice(begin, len(part))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(names, pa.string()), pa.array(np.clip(p.max(axis=1), 0, 1), pa.float64())], names=[*names_in, "lang_pred", "score"])
+
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return docs.mapInArrow(label, schema)
+
+
+def identify(docs: DataFrame, learn: Column, **options) -> DataFrame:
+    """One row per row of docs: doc_id, lang_pred, score.
+
+    The network learns from text and non-null lang of the rows that learn marks, at most about sample_docs of them
+    (4 of each language at least) with per_doc windows each; whole texts are labelled. lang_pred is the language with
+    the largest pooled probability, the score; `und` with score 0 where the text is null or has no letter, or where
+    there was nothing to learn from. Ties go to the first language in code-point order. Other columns are ignored.
+    """
+    return labelled(docs.select(F.col("doc_id").cast("long"), "text", "lang"), learn, **options).select("doc_id", "lang_pred", "score")
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(label, "doc_id long, lang_pred string, score double")
+def kept(docs: DataFrame, learn: Column, least: float, **options) -> DataFrame:
+    """The rows of docs whose language is known with a score of at least `least`, all columns as they were."""
+    return labelled(docs, learn, **options).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)

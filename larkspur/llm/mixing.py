@@ -106,21 +106,22 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return ranked.select("source", "sid", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, copies, taken.
 
     size counts the words of the text (null: 0), taken = size * copies with copies from 0 to `most`. A document without
     words is never taken. Null sources are one source, the last; a null doc_id takes part like any other; rows that
-    repeat a doc_id are separate documents, told apart only by rank. Reruns agree. Other columns are ignored.
+    repeat a doc_id are separate documents, told apart only by rank. Reruns agree. Other columns are ignored, but for those in carry (none named like a column of
+    the result), which are passed on.
     """
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    rows = written(docs.select("doc_id", "source", size.alias("size"), order.alias("order")), "sizes")
+    rows = written(docs.select("doc_id", "source", size.alias("size"), order.alias("order"), *[c for c in carry if c != "source"]), "sizes")
     targets = written(source_targets(rows, weights, most), "targets")
     whole = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size"))).cast("long")).otherwise(F.lit(0).cast("long"))
     targets = targets.withColumn("whole", whole).withColumn("rest", F.floor(F.col("target") - F.col("whole") * F.col("source_size") + 0.5).cast("long"))
     same = F.col("t.source").eqNullSafe(F.col("r.source"))
-    rows = rows.alias("r").join(targets.alias("t"), same).select("doc_id", "size", "order", "sid", "source_size", "target", "whole", "rest")
+    rows = rows.alias("r").join(targets.alias("t"), same).select("doc_id", "size", "order", "sid", "source_size", "target", "whole", "rest", *[F.col(f"r.{c}") for c in carry])
     rows = written(rows.withColumn("range", F.shiftrightunsigned("order", 64 - RANGES.bit_length() + 1)), "ranged")
     held = rows.where("size > 0 and rest > 0 and whole < " + str(int(most))).groupBy("sid", "size", "range").agg(F.count("*").alias("n"), F.first("rest").alias("rest"))
 
@@ -136,4 +137,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     rank = F.row_number().over(W.partitionBy("sid", "size", "range").orderBy("order", "doc_id")) + F.col("before")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce((rank <= F.col("quota")).cast("long"), F.lit(0))).otherwise(F.lit(0))
     rows = rows.withColumn("copies", copies.cast("long"))
-    return rows.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return rows.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *carry)

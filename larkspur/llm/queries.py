@@ -70,7 +70,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_language_id, op4_minhash, op5_license_scan, op6_bpe, op7_kd_top_k, op8_suffix_tree_lm, op9_mix_sources, op10_secret_scan)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    rows = corpus_pipeline.run(spark, sf_dir)
+    return rows.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), "decoded_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_language_id, op4_minhash, op5_license_scan, op6_bpe, op7_kd_top_k, op8_suffix_tree_lm, op9_mix_sources, op10_secret_scan, pipeline)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """

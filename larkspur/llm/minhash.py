@@ -214,7 +214,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, hashes:
     sets = written(sets.dropDuplicates(["v"]), "sets")
     tested = pairs.join(sets.select("v", F.col("shingles").alias("x")).hint("merge"), "v").join(sets.select(F.col("v").alias("c_v"), F.col("shingles").alias("y")).hint("merge"), "c_v")
     links = written(tested.where(linked(percent)).select(F.col("rep").alias("a"), F.col("c_rep").alias("b")), "links")
-    labels = components(links)
+    # rows that repeat a doc_id are one document, so it joins the classes of all its texts
+    several = signs.where("key is not null and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    bridges = signs.select("doc_id", "key").join(several.hint("merge"), "doc_id").join(classes.select("key", "rep").hint("merge"), "key").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    labels = components(links.union(bridges))
 
     # buckets that still hold more than one component: all other pairs, in chunks; equal buckets once
     now = members.select("bucket", "v", "rep").join(labels.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))

@@ -22,11 +22,12 @@ RANGES = 1024
 
 
 def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int = 1 << 16) -> np.ndarray:
-    """How many documents of each length to take so that their sum comes nearest to budget from below.
+    """How many documents of each length to take so that their sum comes near budget.
 
     A proportional share of every length comes first and keeps the source's length mix; what it leaves is brought under
     `table` words by taking single documents, those with the largest lost fraction first, and the last part is solved
-    exactly by dynamic programming over reachable sums. lengths are positive and distinct.
+    exactly by dynamic programming over reachable sums, from below. Where most is taken, the same finds the documents to
+    leave out, since few would remain to fill the rest with. lengths are positive and distinct.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
@@ -34,6 +35,8 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int = 1 <<
     taken = np.zeros_like(counts)
     if budget <= 0:
         return taken
+    if 2 * budget > total:
+        return counts - fill(lengths, counts, total - budget, table)
     share = counts * (budget / total)
     taken = np.minimum(np.floor(share).astype(np.int64), counts)
     rest = budget - int((lengths * taken).sum())

@@ -28,8 +28,12 @@ KINDS = ("assign", "access", "hex", "random")
 #: What the battery looks at: runs of at least 20 code-like characters.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 
-#: Text-like effects that the tests must reject: chi-squared excess per character, lost share of runs, correlation.
-CHI_EXCESS, RUNS_LOST, CORRELATION = 1.5, 0.35, 0.5
+# Alphabet sizes, and the chi-squared excess per character that text has in each: the chance that two of its
+# characters are equal (0.06, more in hexadecimal) times the size, less 1.
+ALPHABETS = {"hex": (16, 1.0), "base32": (32, 0.92), "letters": (26, 0.56), "base36": (36, 1.16), "base64": (64, 2.84)}
+
+#: The other effects that the tests must reject: lost share of runs, correlation.
+RUNS_LOST, CORRELATION = 0.5, 0.6
 
 #: Bands of length, each with its own false-discovery control, and bins of -log10 p.
 BANDS, BINS, BIN_WIDTH = (20, 24, 32, 48, 64, 128, 256), 400, 0.05
@@ -92,7 +96,9 @@ def battery(tokens: DataFrame) -> DataFrame:
     """
     t = F.col("token")
     encoding = F.when(t.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(t.rlike("^[A-Z2-7]+=*$"), "base32").when(t.rlike("^([a-z]+|[A-Z]+)$"), "letters").when(t.rlike("^([a-z0-9]+|[A-Z0-9]+)$"), "base36").otherwise("base64")
-    rows = tokens.withColumn("encoding", encoding).withColumn("k", F.create_map(*[F.lit(x) for p in (("hex", 16), ("base32", 32), ("letters", 26), ("base36", 36), ("base64", 64)) for x in p])[F.col("encoding")])
+    rows = tokens.withColumn("encoding", encoding)
+    sizes, excesses = (F.create_map(*[F.lit(x) for name, v in ALPHABETS.items() for x in (name, v[i])]) for i in range(2))
+    rows = rows.withColumn("k", sizes[F.col("encoding")])
     folded = F.when(F.col("encoding").isin("hex", "letters", "base36"), F.lower(t)).otherwise(F.regexp_replace(t, "=+$", ""))
     order = F.when(F.col("encoding") == "base32", F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")).when(F.col("encoding") == "letters", F.lit("abcdefghijklmnopqrstuvwxyz")).when(F.col("encoding") == "base64", F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")).otherwise(F.lit("0123456789abcdefghijklmnopqrstuvwxyz"))
     rows = rows.withColumn("folded", F.translate(folded, "-_=", "+//")).withColumn("order", order)
@@ -110,7 +116,7 @@ def battery(tokens: DataFrame) -> DataFrame:
     rows = rows.withColumn("changes", F.aggregate("pairs", zero, lambda a, p: a + F.when((p["a"] < half) != (p["b"] < half), 1.0).otherwise(0.0)))
     n, k = F.col("n"), F.col("k").cast("double")
     chi = k * F.col("squares") / n - n
-    excess = n * F.lit(CHI_EXCESS)
+    excess = n * excesses[F.col("encoding")]
     p_chi = normal_below((chi - (k - 1 + excess)) / F.sqrt(2 * (k - 1 + 2 * excess)))
     lost = (n - 1) / 2 * (1 - F.lit(RUNS_LOST))
     p_runs = 1 - normal_below((F.col("changes") - lost) / F.sqrt((n - 1) / 4))

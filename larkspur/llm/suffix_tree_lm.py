@@ -110,7 +110,7 @@ def grow(tree: Tree, codes: np.ndarray, counts: np.ndarray, contexts: np.ndarray
     mass = total - np.bincount(owner, counts - tree.discount, n)
     own = (counts - tree.discount + mass[owner] * shorter) / total[owner]
     rest = total - np.bincount(owner, counts, n)
-    gain = np.bincount(owner, counts * np.log(own / shorter), n)
+    gain = np.bincount(owner, counts * np.log(own / shorter), n).astype(float)
     gain += np.where(rest > 0, rest * np.log(np.maximum(mass, 1e-300) / total), 0.0)
     state = (gain > strictness * np.log(max(tokens, 2))) & (np.bincount(owner, minlength=n) > 0)
     tree.levels.append(Level(codes, counts.astype(float), state, total, mass))

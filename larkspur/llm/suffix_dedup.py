@@ -284,7 +284,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFr
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     found = written(all_anchors(docs, length), "anchors")
-    again = found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    # written, so that the join's two sides are plain exchanges and AQE can split a gram that very many places share
+    again = written(found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "grams")
     found = written(found.join(again.hint("merge"), "g"), "repeated")
     contexts = written(found.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "at", "low", "high")).alias("one")), "contexts")
     settled = found.join(contexts.where("n > 1").select("g", "c").hint("merge"), ["g", "c"]).select("doc_id", "th", F.col("low").alias("first"), F.col("high").alias("last"))

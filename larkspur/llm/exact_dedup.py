@@ -68,6 +68,7 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", digest: Callable[[Colum
     bodies = maybe_in(index.keyed(docs), "digest", key_bits(hits, "digest"))
     classes = written(bodies.groupBy("digest", "body").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest"), F.count("*").alias("n")), "classes")
     by_digest = classes.groupBy("digest").agg(F.count("*").alias("k"), F.min("smallest").alias("smallest"), F.max("largest").alias("largest"), F.sum("n").alias("n"))
+    by_digest = written(by_digest, "hits")  # a plain side of the join below, which AQE can then split where a text is hot
     collided = by_digest.where("k > 1").select("digest")
     entries = index.entries()
     out = entries.join(by_digest.hint("merge"), "digest", "left").where("k is null or k = 1").select("doc_id", "sha", *_chosen(keep))

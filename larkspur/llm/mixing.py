@@ -136,7 +136,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     quotas = lengths.groupBy("sid").applyInPandas(quota, "sid int, size long, quota long")
     before = F.coalesce(F.sum("n").over(W.partitionBy("sid", "size").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     held = held.withColumn("before", before).join(quotas, ["sid", "size"]).select("sid", "size", "range", "before", "quota")
-    rows = rows.join(held, ["sid", "size", "range"], "left")
+    held = written(held, "quotas")
+    rows = rows.join(held.hint("merge"), ["sid", "size", "range"], "left")
     rank = F.row_number().over(W.partitionBy("sid", "size", "range").orderBy("order", "doc_id")) + F.col("before")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce((rank <= F.col("quota")).cast("long"), F.lit(0))).otherwise(F.lit(0))
     rows = rows.withColumn("copies", copies.cast("long"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import written_by
 
 #: Text in a block; a longer document is a block of its own.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 
 SCHEMA = "block long, words array<binary>, counts array<long>, doc_ids array<long>, marks array<boolean>, sizes array<int>, at binary"
 

@@ -35,13 +35,10 @@ def word_splitter(spec: str) -> Callable[[], Callable[[str], list[bytes]]]:
     """Text -> words as the tokenizer's own normaliser and splitting pattern make them, special tokens apart."""
 
     def make() -> Callable[[str], list[bytes]]:
-        from tokenizers import Regex, Tokenizer, pre_tokenizers
-
         parts = json.loads(spec)
-        tok = Tokenizer.from_str(spec)
-        first = parts["pre_tokenizer"]["pretokenizers"][0]
-        pattern = first["pattern"]["Regex"]
-        cut = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+        del parts["model"]
+        pattern = parts["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        library = []  # the tokenizer's own normaliser and splitter, loaded by the first text that needs them
         kinds = [n["type"] for n in parts["normalizer"]["normalizers"]]
         plain = pattern == PLAIN_FOR and kinds == ["NFC", "Replace", "Lowercase"]
         specials = [t["content"] for t in parts["added_tokens"]]
@@ -50,7 +47,12 @@ def word_splitter(spec: str) -> Callable[[], Callable[[str], list[bytes]]]:
         def words(text: str) -> list[bytes]:
             if plain and not PLAIN.search(text):
                 return PLAIN_WORDS.findall(text.lower())
-            return [w for w, _ in cut.pre_tokenize_str(tok.normalizer.normalize_str(text))]
+            if not library:
+                from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+                library[:] = Tokenizer.from_str(spec).normalizer, pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+            normaliser, splitter = library
+            return [w for w, _ in splitter.pre_tokenize_str(normaliser.normalize_str(text))]
 
         def split(text: str) -> list:
             if "<" not in text or not around.search(text):

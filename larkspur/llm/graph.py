@@ -21,18 +21,16 @@ def _starred(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a > b").distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 32)))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node with a smaller neighbour has one only, and that one has none: each component is a star."""
+    ends = edges.select(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for all nodes of edges (a, b) but the smallest of each component, which is the component."""
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     edges = written(edges, "edges")
-    mark = _mark(edges)
-    while mark[0]:
+    while not _stars(edges):
         edges = written(_starred(_starred(edges, True), False), "edges")
-        before, mark = mark, _mark(edges)
-        if mark == before:
-            break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -203,9 +203,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, hashes:
     docs = docs.select("doc_id", "text")
     signs = written(signed(docs, words, hashes, rows), "signs")
     classes = signs.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    classes = written(classes, "classes").withColumn("v", F.monotonically_increasing_id())
+    classes = written(classes.withColumn("v", F.monotonically_increasing_id()), "classes")
     members = written(classes.select("v", "rep", F.explode("bands").alias("bucket")), "members")
     centres = members.groupBy("bucket").agg(F.min(F.struct("rep", "v")).alias("c"), F.count("*").alias("size")).where("size > 1").select("bucket", F.col("c.rep").alias("c_rep"), F.col("c.v").alias("c_v"))
+    centres = written(centres, "centres")  # a plain side of the join, which AQE can then split where a bucket is hot
     members = written(members.join(centres.hint("merge"), "bucket"), "members")  # of buckets with more than one class
     pairs = written(members.where("v != c_v").select("v", "rep", "c_v", "c_rep").distinct(), "pairs")
     wanted = members.select("v", "rep").distinct()
@@ -223,7 +224,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, hashes:
     now = members.select("bucket", "v", "rep").join(labels.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     now = written(now, "now")
     split = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("v")).alias("h1"), F.sum(F.pmod(F.xxhash64(F.lit(1), F.col("v")), F.lit(1 << 40))).alias("h2")).where("low < high and size > 2")
-    split = split.groupBy("size", "h1", "h2").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
+    split = written(split.groupBy("size", "h1", "h2").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), "split")
     rest = now.join(split.hint("merge"), "bucket").withColumn("chunk", F.floor((F.row_number().over(W.partitionBy("bucket").orderBy("rep", "v")) - 1) / CHUNK).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / CHUNK).cast("int"))))
     rest = rest.select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "v", "rep", "component").join(sets.hint("merge"), "v")

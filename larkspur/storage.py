@@ -21,3 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/larkspur/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all intermediate tables below the shared folder, once the results that read them are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/larkspur")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -52,3 +52,17 @@ def test_scans_read_only_what_is_used(spark):
     files.write_parquet(g.sales_fact(spark, g.Scale(1000)), path)
     plan = files.read_parquet(spark, path, COLUMNS).where("customer_id = 5").select("quantity")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<customer_id:bigint,quantity:int>" in plan and "EqualTo(customer_id,5)" in plan
+
+
+def test_clear_removes_intermediate_tables(spark, tmp_path):
+    from larkspur import storage
+
+    before = storage.shared_dir(spark)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        spark.range(3).write.parquet(storage.table_path(spark, "t"))
+        assert list(tmp_path.iterdir())
+        storage.clear(spark)
+        assert not list(tmp_path.iterdir())
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)

@@ -1,13 +1,14 @@
-"""Shared pieces of the training-data operators: the shared folder, materialising, key filters."""
+"""Shared pieces of the training-data operators: materialising in the shared folder, key filters."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.storage import table_path
+
 #: Word separators of every word-based contract: blank and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,24 +18,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FILTER_BITS = 1 << 25
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which every executor can read.
-
-    Only where the setting is absent (local tests) is a folder of this machine used and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="larkspur-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/larkspur/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str, **options) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends in files that survive lost executors."""
     spark = df.sparkSession

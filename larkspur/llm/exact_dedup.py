@@ -15,7 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import key_bits, lower_ascii, maybe_in, table_path, written
+from larkspur.llm.common import key_bits, lower_ascii, maybe_in, written
+from larkspur.storage import table_path
 
 
 class DigestIndex:

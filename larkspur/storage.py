@@ -8,14 +8,21 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+#: Folders made here, by application; Spark does not let a running session set spark.checkpoint.dir.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where it is unset (local runs) one of this machine is set."""
+    """The folder named in spark.checkpoint.dir; only where it is unset (local runs) one of this machine is made."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="larkspur-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        application = spark.sparkContext.applicationId
+        if application not in _OWN:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            _OWN[application] = "file://" + tempfile.mkdtemp(prefix="larkspur-")
+            spark.sparkContext.setCheckpointDir(_OWN[application])
+        base = _OWN[application]
     return base.rstrip("/")
 
 

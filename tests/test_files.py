@@ -54,15 +54,28 @@ def test_scans_read_only_what_is_used(spark):
     assert "ReadSchema: struct<customer_id:bigint,quantity:int>" in plan and "EqualTo(customer_id,5)" in plan
 
 
-def test_clear_removes_intermediate_tables(spark, tmp_path):
+def test_clear_removes_intermediate_tables(spark, tmp_path, monkeypatch):
     from larkspur import storage
 
-    before = storage.shared_dir(spark)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    monkeypatch.setattr(storage, "shared_dir", lambda _: f"file://{tmp_path}")
+    spark.range(3).write.parquet(storage.table_path(spark, "t"))
+    assert list((tmp_path / "larkspur").iterdir())
+    storage.clear(spark)
+    assert not (tmp_path / "larkspur").exists()
+
+
+def test_a_folder_is_made_only_where_none_is_named(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from larkspur import storage
+
+    assert storage.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    made = []
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getConf=dict, applicationId="a", master="local[2]", setCheckpointDir=made.append))
+    assert storage.shared_dir(bare) == storage.shared_dir(bare) == made[0] and len(made) == 1
+    bare.sparkContext.master, bare.sparkContext.applicationId = "yarn", "b"
     try:
-        spark.range(3).write.parquet(storage.table_path(spark, "t"))
-        assert list(tmp_path.iterdir())
-        storage.clear(spark)
-        assert not list(tmp_path.iterdir())
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+        storage.shared_dir(bare)
+        raise AssertionError
+    except RuntimeError:
+        pass

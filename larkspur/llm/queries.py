@@ -79,12 +79,55 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_language_id, op4_minhash, op5_license_scan, op6_bpe, op7_kd_top_k, op8_suffix_tree_lm, op9_mix_sources, op10_secret_scan, pipeline)}
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def license_sql() -> str:
+    """op5 in DuckDB: the same cuts without lookaround (a dot before a blank becomes a line end first)."""
+    known = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in licenses.SENTENCES.items())
+    # a dot between digits stays: it is put aside as another sign, twice, since matches may share a digit
+    aside = "regexp_replace(regexp_replace(lower(s), '([0-9])\\.([0-9])', '\\1\ue000\\2', 'g'), '([0-9])\\.([0-9])', '\\1\ue000\\2', 'g')"
+    normal = f"trim(regexp_replace(replace(replace({aside}, '.', ' '), '\ue000', '.'), '[^\\p{{L}}\\p{{N}}.]+', ' ', 'g'), ' ')"
+    hits = []
+    for name, kind, ids in licenses.RULES:
+        wanted = "[" + ", ".join(map(_quoted, ids)) + "]"
+        hits.append(f"list_transform(list_filter(range(0, greatest(len(ids) - {len(ids)} + 1, 0)), lambda i: list_slice(ids, i + 1, i + {len(ids)}) = {wanted}), lambda i: {_quoted(f'{name}:{kind}:')} || i)")
+
+    def cut(name: str, end: str, breaks: str) -> str:
+        pieces = f"string_split_regex(regexp_replace(lower(text), '\\.+(\\s|$)', '{end}', 'g'), '{breaks}')"
+        return f"""{name}_parts as (select row, unnest({pieces}) as s, generate_subscripts({pieces}, 1) as place from t),
+             {name} as (select row, list(id order by place) as ids from {name}_parts join known on {normal} = sentence group by row)"""
+
+    cuts = ", ".join((cut("lines", "\n", r"[\n\r;!?]+"), cut("flowing", " ; ", "[;!?]+")))
+    return f"""
+        with known(sentence, id) as (values {known}),
+             t as (select row_number() over () as row, doc_id, coalesce(text, '') as text from documents),
+             {cuts},
+             found as (select doc_id, case when len(coalesce(flowing.ids, [])) > len(coalesce(lines.ids, [])) then flowing.ids else coalesce(lines.ids, []) end as ids
+                       from t left join lines on t.row = lines.row left join flowing on t.row = flowing.row),
+             m as (select doc_id, ids, list_concat({hits[0]}, {", ".join(hits[1:])}) as matches from found),
+             l as (select *, list_sort(list_distinct(list_transform(matches, lambda x: split_part(x, ':', 1)))) as licenses from m)
+        select doc_id, array_to_string(ids, ',') as sentence_ids, array_to_string(licenses, ',') as licenses, array_to_string(matches, ',') as matches, cast(len(licenses) as bigint) as n_licenses from l"""
+
+
 ORACLE_SQL = {
     "op1_exact_dedup": """
         with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as body from documents)
         select doc_id, max(doc_id) over (partition by body) as keep_id, count(*) over (partition by body) as group_size,
                doc_id is not distinct from max(doc_id) over (partition by body) as kept, sha256(body) as text_sha256
         from t""",
+    "op4_minhash": """
+        with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+             s as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))
+                                                       when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from t),
+             n as (select doc_id, count(*) as n from s group by 1),
+             shared as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+             e as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+             r as (select doc_id as a, doc_id as b from t union select r.a, e.b from r join e on r.b = e.a),
+             k as (select a, min(b) as component_id from r group by 1)
+        select t.doc_id, coalesce(n.n, 0) as n_shingles, component_id, t.doc_id = component_id as kept from t left join n on n.doc_id = t.doc_id join k on k.a = t.doc_id""",
+    "op5_license_scan": license_sql(),
     "op7_kd_top_k": """
         with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
                    where embedding is not null and vec_id is not null and len(embedding) > 0

@@ -29,6 +29,9 @@ from larkspur.llm.common import key_bits, maybe_flag, maybe_in, written
 BUFFER = 1 << 18
 SEGMENT = 1 << 22
 
+#: Leading bytes of a suffix, four tokens, by which buckets are split.
+LEADING = 32
+
 #: Distinct contexts of one gram up to which they are sorted in one bucket.
 HOT = 20_000
 
@@ -252,8 +255,8 @@ def sorted_buckets(contexts: DataFrame, length: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([ids, th, pa.array((at[row] - last).astype(np.int32)), pa.array((at[row] - first).astype(np.int32))], names=["doc_id", "th", "first", "last"])
 
     columns = ["doc_id", "th", "at", "low", "high", "single", "left", "right"]
-    # the gram is what a bucket may not split; sampled splitters on it deal the suffixes out
-    by_range = contexts.select(*columns).repartitionByRange(F.substring("right", 1, length // 2))
+    # sampled splitters on the leading tokens deal the suffixes out; a gram is never split, since equal keys stay together
+    by_range = contexts.select(*columns).repartitionByRange(F.substring("right", 1, min(LEADING, length // 2)))
     return by_range.mapInArrow(run, "doc_id long, th long, first int, last int")
 
 

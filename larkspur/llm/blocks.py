@@ -17,10 +17,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import written_by
+from larkspur.llm.common import trimmed, written_by
 
 #: Text in a block; a longer document is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 
 SCHEMA = "block long, words array<binary>, counts array<long>, doc_ids array<long>, marks array<boolean>, sizes array<int>, at binary"
 
@@ -92,7 +92,7 @@ def to_blocks(docs: DataFrame, splitter: Callable[[], Callable[[str], list]], na
             yield _block(number, table, ids, marks, sizes, at)
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce("mark", F.lit(False)).alias("mark"))
-    return written_by(rows.mapInArrow(run, SCHEMA), name, "block")
+    return written_by(rows.mapInArrow(trimmed(run), SCHEMA), name, "block")
 
 
 def dealt(blocks: DataFrame, parts: int) -> DataFrame:
@@ -120,7 +120,7 @@ def dealt(blocks: DataFrame, parts: int) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "nos", "words", "counts"])
 
-    rows = blocks.select("block", "words", "counts").mapInArrow(run, "part int, block long, nos binary, words binary, counts binary")
+    rows = blocks.select("block", "words", "counts").mapInArrow(trimmed(run), "part int, block long, nos binary, words binary, counts binary")
     return rows.repartition(parts, "part")
 
 

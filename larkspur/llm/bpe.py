@@ -8,6 +8,7 @@ Decoding joins identifiers to the pieces of the vocabulary.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.blocks import by_document, dealt, opened, packed, to_blocks, unpacked
+from larkspur.llm.common import trimmed
 
 #: Marks a special token among the words; no word holds a blank.
 SPECIAL = b" "
@@ -85,6 +87,7 @@ def encode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     blocks = to_blocks(docs.select("doc_id", "text", F.lit(True).alias("mark")), lambda: word_splitter(shared.value)(), "bpe")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs in parallel
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_str(shared.value)
@@ -101,7 +104,7 @@ def encode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in (nos, packed(lengths), packed(flat)))], names=["block", "nos", "lengths", "ids"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = dealt(blocks, parts).mapInArrow(encoded, "block long, nos binary, lengths binary, ids binary")
+    table = dealt(blocks, parts).mapInArrow(trimmed(encoded), "block long, nos binary, lengths binary, ids binary")
     table = table.groupBy("block").agg(F.collect_list(F.struct("nos", "lengths", "ids")).alias("found"))
     rows = blocks.select("block", "doc_ids", "sizes", "at").join(table.hint("merge"), "block", "left")
 
@@ -124,7 +127,7 @@ def encode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
                     lists = pa.ListArray.from_arrays(pa.array(ends[starts[a : b + 1] - starts[a]], pa.int32()), pa.array(flat[where], pa.int32()))
                     yield pa.RecordBatch.from_arrays([doc_ids.slice(a, b - a), lists], names=["doc_id", "ids"])
 
-    return rows.select("doc_ids", "sizes", "at", "found").mapInArrow(laid_out, "doc_id long, ids array<int>")
+    return rows.select("doc_ids", "sizes", "at", "found").mapInArrow(trimmed(laid_out), "doc_id long, ids array<int>")
 
 
 def decode(ids: DataFrame, tokenizer_file: str) -> DataFrame:

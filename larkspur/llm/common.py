@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.storage import table_path
@@ -18,11 +23,39 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FILTER_BITS = 1 << 25
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most a thousand rows for what runs inside: whole texts go to Python in small pieces."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1000")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def trimmed(run: Callable) -> Callable:
+    """A function for mapInArrow that gives its memory back at the end of a task; Python workers live on between tasks."""
+
+    def wrapper(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # glibc only
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapper
+
+
 def written(df: DataFrame, name: str, **options) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends in files that survive lost executors."""
     spark = df.sparkSession
     path = table_path(spark, name)
-    df.write.options(compression="zstd", **options).parquet(path)
+    with small_batches(spark):
+        df.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,7 +95,8 @@ def written_by(df: DataFrame, name: str, key: str) -> DataFrame:
     spark = df.sparkSession
     table = f"larkspur_{name}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.options(path=table_path(spark, name), compression="zstd").bucketBy(n, key).format("parquet").saveAsTable(table)
+    with small_batches(spark):
+        df.write.options(path=table_path(spark, name), compression="zstd").bucketBy(n, key).format("parquet").saveAsTable(table)
     return spark.table(table)
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from larkspur.llm.common import trimmed
+
 #: Bytes of a window, and the number that stands for no byte.
 WINDOW, PAD = 128, 256
 
@@ -255,7 +257,7 @@ def labelled(docs: DataFrame, learn: Column, sample_docs: int = 800, per_doc: in
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(names, pa.string()), pa.array(np.clip(p.max(axis=1), 0, 1), pa.float64())], names=[*names_in, "lang_pred", "score"])
 
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.mapInArrow(label, schema)
+    return docs.mapInArrow(trimmed(label), schema)
 
 
 def identify(docs: DataFrame, learn: Column, **options) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur.llm.blocks import Numbers
-from larkspur.llm.common import key_bits, maybe_in, written
+from larkspur.llm.common import key_bits, maybe_in, trimmed, written
 from larkspur.llm.graph import components
 
 #: Classes of a bucket that are compared exhaustively in one task with those of one other chunk.
@@ -127,7 +127,7 @@ def signed(docs: DataFrame, words: int, hashes: int, rows: int) -> DataFrame:
         if ids:
             yield batch()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, key binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, n long, key binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -150,7 +150,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
         if ids:
             yield batch()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "rep long, key binary, shingles array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "rep long, key binary, shingles array<long>")
 
 
 def linked(percent: int):

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import key_bits, maybe_flag, maybe_in, written
+from larkspur.llm.common import key_bits, maybe_flag, maybe_in, trimmed, written
 
 #: Bytes that are hashed together; longer texts come in overlapping segments.
 BUFFER = 1 << 18
@@ -146,7 +146,7 @@ def all_anchors(docs: DataFrame, length: int) -> DataFrame:
         if held:
             yield flushed()
 
-    return docs.select(F.col("doc_id").cast("long"), "th", "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "th", "text").mapInArrow(trimmed(run), schema)
 
 
 def multikey_sort(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +236,7 @@ def cut_contexts(rows: DataFrame, length: int) -> DataFrame:
                     columns += [pa.array([data[x["low"] : x["at"]] for x in some], pa.binary()), pa.array([data[x["at"] : x["high"] + length] for x in some], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.select("doc_id", "th", "text", "anchors").mapInArrow(run, "doc_id long, th long, at int, low int, high int, g long, hot boolean, single boolean, left binary, right binary")
+    return rows.select("doc_id", "th", "text", "anchors").mapInArrow(trimmed(run), "doc_id long, th long, at int, low int, high int, g long, hot boolean, single boolean, left binary, right binary")
 
 
 def sorted_buckets(contexts: DataFrame, length: int) -> DataFrame:
@@ -257,7 +257,7 @@ def sorted_buckets(contexts: DataFrame, length: int) -> DataFrame:
     columns = ["doc_id", "th", "at", "low", "high", "single", "left", "right"]
     # sampled splitters on the leading tokens deal the suffixes out; a gram is never split, since equal keys stay together
     by_range = contexts.select(*columns).repartitionByRange(F.substring("right", 1, min(LEADING, length // 2)))
-    return by_range.mapInArrow(run, "doc_id long, th long, first int, last int")
+    return by_range.mapInArrow(trimmed(run), "doc_id long, th long, first int, last int")
 
 
 def counted_windows(contexts: DataFrame, length: int) -> DataFrame:
@@ -323,4 +323,4 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFr
     clean = flagged.where("not maybe").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.col("text").cast("binary").alias("kept"))
     same = F.col("s.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("s.th") == F.col("t.th"))
     rest = flagged.where("maybe").alias("t").join(spans.alias("s").hint("merge"), same, "left").select("t.doc_id", "t.text", "s.repeats")
-    return clean.union(rest.mapInArrow(removed, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary"))
+    return clean.union(rest.mapInArrow(trimmed(removed), "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary"))

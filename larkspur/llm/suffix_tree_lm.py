@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.blocks import by_document, dealt, opened, packed, to_blocks, unpacked
-from larkspur.llm.common import written, written_by
+from larkspur.llm.common import trimmed, written, written_by
 
 #: Separates nothing and is no word: the token that ends every text, and the past of its first word.
 END = b""
@@ -160,7 +160,7 @@ def lm_score(docs: DataFrame, train, depth: int = 3, p_min: float = 2e-5, discou
                 yield _row(p, block, nos, c, symbol + 1, None, None, None)
 
     parts_ = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = written(dealt(blocks, parts_).mapInArrow(totals, TOTALS), "counted")
+    counted = written(dealt(blocks, parts_).mapInArrow(trimmed(totals), TOTALS), "counted")
     # at most 1 / p_min words are frequent, and the end
     named = counted.where("block is null").select("part", "frequent", "totals", "known").orderBy("part").collect()
     known = sum(r["known"] for r in named)
@@ -207,7 +207,7 @@ def lm_score(docs: DataFrame, train, depth: int = 3, p_min: float = 2e-5, discou
                     yield pa.RecordBatch.from_arrays([pa.array(codes[a : a + (1 << 18)], pa.int64()), pa.array(n[a : a + (1 << 18)], pa.int64())], names=["code", "n"])
 
         # at most 1 / p_min entries come back
-        counted = rows.mapInArrow(followers, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
+        counted = rows.mapInArrow(trimmed(followers), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
         codes, counts = (counted[k].to_numpy().astype(np.int64) for k in ("code", "n"))
         order = np.argsort(codes)
         codes, counts = codes[order], counts[order]
@@ -234,5 +234,5 @@ def lm_score(docs: DataFrame, train, depth: int = 3, p_min: float = 2e-5, discou
             columns = [ids, pa.array(sizes, pa.int64()), pa.array(np.add.reduceat((c > 0).astype(np.int64), at), pa.int64()), pa.array(np.add.reduceat(p0, at)), pa.array(np.add.reduceat(np.log10(p), at))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    out = rows.mapInArrow(scored, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    out = rows.mapInArrow(trimmed(scored), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.scalar import cents, price
@@ -24,16 +24,13 @@ def framed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("cents", cents(F.col("unit_price"))).drop("unit_price")
 
 
-def parse_csv(sales: DataFrame) -> DataFrame:
-    path = table_path(sales.sparkSession, "csv")
-    files.write_csv(published(sales), path)
-    return summarise_columns(framed(files.read_csv(sales.sparkSession, path, COLUMNS)))
+def parse_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Parses all columns of a CSV folder and sums each up."""
+    return summarise_columns(framed(files.read_csv(spark, path, COLUMNS)))
 
 
-def read_parquet_aggregate(sales: DataFrame) -> DataFrame:
-    path = table_path(sales.sparkSession, "parquet")
-    files.write_parquet(published(sales), path)
-    return scan_aggregate(framed(files.read_parquet(sales.sparkSession, path, COLUMNS, ["quantity", "unit_price", "is_returned"])))
+def read_parquet_aggregate(spark: SparkSession, path: str) -> DataFrame:
+    return scan_aggregate(framed(files.read_parquet(spark, path, COLUMNS, ["quantity", "unit_price", "is_returned"])))
 
 
 def write_csv_parquet(sales: DataFrame) -> DataFrame:

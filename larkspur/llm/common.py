@@ -5,8 +5,8 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager, suppress
+from collections.abc import Callable
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,16 +23,15 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FILTER_BITS = 1 << 25
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of at most a thousand rows for what runs inside: whole texts go to Python in small pieces."""
+#: Rows of an Arrow batch: whole texts go to Python and come back in pieces of a few MB.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS. It stays so, since frames returned here run later."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "1000")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def trimmed(run: Callable) -> Callable:
@@ -54,8 +53,8 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends in files that survive lost executors."""
     spark = df.sparkSession
     path = table_path(spark, name)
-    with small_batches(spark):
-        df.write.options(compression="zstd", **options).parquet(path)
+    small_batches(spark)
+    df.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -95,8 +94,8 @@ def written_by(df: DataFrame, name: str, key: str) -> DataFrame:
     spark = df.sparkSession
     table = f"larkspur_{name}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    with small_batches(spark):
-        df.write.options(path=table_path(spark, name), compression="zstd").bucketBy(n, key).format("parquet").saveAsTable(table)
+    small_batches(spark)
+    df.write.options(path=table_path(spark, name), compression="zstd").bucketBy(n, key).format("parquet").saveAsTable(table)
     return spark.table(table)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from larkspur.llm.common import trimmed
+from larkspur.llm.common import small_batches, trimmed
 
 #: Bytes of a window, and the number that stands for no byte.
 WINDOW, PAD = 128, 256
@@ -233,6 +233,7 @@ def sample_windows(docs: DataFrame, learn: Column, sample_docs: int, per_doc: in
 def labelled(docs: DataFrame, learn: Column, sample_docs: int = 800, per_doc: int = 4, **training) -> DataFrame:
     """All rows and columns of docs with lang_pred and score (which replace columns of these names); see identify()."""
     spark = docs.sparkSession
+    small_batches(spark)
     net = train(sample_windows(docs, learn, sample_docs, per_doc), **training)
     shared = spark.sparkContext.broadcast(net)  # a few 10 kB
     docs = docs.drop("lang_pred", "score")

@@ -1,14 +1,15 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-The root is the smoothed word distribution. A context of d words is a candidate if it makes up at least p_min of the
-training tokens, so there are at most 1 / p_min of them at each depth, whatever the corpus; likewise a context's own
-distribution names the symbols that follow it at least that often and leaves the rest of its mass to its suffix. A
-candidate becomes a state if its distribution diverges from its suffix's: the gain in log-likelihood, its count
-times the divergence, must pass a multiple of the logarithm of the corpus size. A token is scored in the state of the
-longest suffix of its past that is one.
-
-All counts are taken over all training documents: words by one row for each block that has them, contexts by one
-aggregated row for each block and context.
+The root is the smoothed word distribution. A context of up to `depth` words is a candidate if it occurs at least `least`
+times in the training text, a fixed count, so the tree grows with the corpus; likewise a context's own distribution names
+the symbols that follow it at least that often and leaves the rest of its mass to its suffix. A candidate becomes a state
+if its distribution diverges from its suffix's: the gain in log-likelihood, its count times the divergence, must pass a
+multiple of the logarithm of the corpus size. A token is scored in the state of the longest suffix of its past that is one.
+
+All counts are taken over all training documents, and no task holds the tree. Depth by depth each block sends its distinct
+contexts with their followers to the parts that contexts are dealt to by hash; a part sees all of a context, decides
+whether it is a state, and answers every block with what concerns its own entries. So a block holds the tree restricted to
+its text. Contexts of two and more words are known by 64-bit hashes there, whose equality stands for that of the words.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,32 +118,141 @@ def grow(tree: Tree, codes: np.ndarray, counts: np.ndarray, contexts: np.ndarray
     tree.levels.append(Level(codes, counts.astype(float), state, total, mass))
 
 
+def mixed(key: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64-bit hash of a context's hash and the word that follows it (both uint64)."""
+    x = key * np.uint64(0x9E3779B97F4A7C15) + word + np.uint64(1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def pressed(values: np.ndarray) -> bytes:
+    """Numbers as bytes, plane by plane, compressed."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def loose(data: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+@dataclass
+class Block:
+    """A block's tokens under its own word numbers: symbol is -1 for rare words, word has each number's one in the corpus."""
+
+    symbol: np.ndarray
+    first: np.ndarray
+    train: np.ndarray
+    end: int
+    word: np.ndarray
+    p: np.ndarray
+
+
+@dataclass
+class Question:
+    """A block's distinct (context, symbol + 1) of one depth by part and context, with counts and where one occurs."""
+
+    part: np.ndarray
+    context: np.ndarray
+    symbol: np.ndarray
+    n: np.ndarray
+    token: np.ndarray
+    #: Where each distinct context begins.
+    starts: np.ndarray
+
+
+def question(block: Block, tree: Tree, keys: np.ndarray, parts: int) -> Question:
+    *_, context = pasts(block.symbol, block.first, block.end, tree, len(tree.levels) + 1)
+    on = np.flatnonzero(context >= 0)
+    wide = tree.symbols + 1
+    codes, token, back = np.unique(context[on] * wide + block.symbol[on] + 1, return_index=True, return_inverse=True)
+    n = np.bincount(back, block.train[on], len(codes)).astype(np.int64)
+    context = codes // wide
+    part = (mixed(keys[context], np.zeros(len(codes), np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part, context = part[order], context[order]
+    starts = np.flatnonzero(np.diff(context, prepend=-1) != 0)
+    return Question(part, context, codes[order] % wide, n[order], on[token[order]], starts)
+
+
+def next_keys(tree: Tree, keys: np.ndarray, word: np.ndarray) -> np.ndarray:
+    codes = tree.levels[-1].codes
+    return mixed(keys[codes // tree.symbols], word[codes % tree.symbols])
+
+
+def judged(context: np.ndarray, symbol: np.ndarray, n: np.ndarray, shorter: np.ndarray, discount: float, strictness: float, tokens: int, least: int):
+    """All rows of some contexts, from any number of blocks: each row's entry count, 0 if no entry, and its context's state, total and mass.
+
+    symbol is 0 for rare words, which have no entries.
+    """
+    order = np.lexsort((symbol, context))
+    context, symbol = context[order], symbol[order]
+    new_context = np.diff(context, prepend=context[:1]) != 0
+    new = new_context | (np.diff(symbol, prepend=symbol[:1]) != 0)
+    new_context[:1] = new[:1] = True
+    at, number = np.flatnonzero(new), np.cumsum(new_context) - 1
+    counts = np.add.reduceat(n[order], at)
+    total = np.bincount(number[at], counts).astype(np.int64)
+    entry = (counts >= least) & (symbol[at] > 0)
+    wide = int(symbol.max()) + 1
+    tree = Tree(wide, discount, [])
+    grow(tree, number[at][entry] * wide + symbol[at][entry], counts[entry], total, shorter[order][at][entry].astype(float), strictness, tokens)
+    level = tree.levels[0]
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    own = np.where(entry, counts, 0)[np.cumsum(new) - 1]
+    return own[back], level.state[number][back], total[number][back], level.mass[number][back]
+
+
+def deepen(tree: Tree, asked: Question, contexts: int, replies: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> None:
+    """Adds a depth to a block's tree from the replies to its question: part, entry counts; state, total, mass by context."""
+    counts, state, total, mass = np.zeros(len(asked.part), np.int64), np.zeros(contexts, bool), np.ones(contexts), np.zeros(contexts)
+    distinct, part = asked.context[asked.starts], asked.part[asked.starts]
+    for k, *reply in replies:
+        counts[np.searchsorted(asked.part, k) : np.searchsorted(asked.part, k, "right")] = reply[0]
+        own = distinct[np.searchsorted(part, k) : np.searchsorted(part, k, "right")]
+        state[own], total[own], mass[own] = reply[1:]
+    codes = asked.context * tree.symbols + asked.symbol - 1
+    codes, counts = codes[counts > 0], counts[counts > 0]
+    order = np.argsort(codes)
+    tree.levels.append(Level(codes[order], counts[order].astype(float), state, np.maximum(total, 1), mass))
+
+
 def _row(*values) -> pa.RecordBatch:
-    part, block, nos, c, symbol, frequent, totals, known = values
-    types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.int64())
-    cells = (part, block, nos, *(None if x is None else packed(x) for x in (c, symbol)), frequent, totals, known)
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(cells, types)], names=["part", "block", "nos", "c", "symbol", "frequent", "totals", "known"])
+    types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    part, block, nos, c, symbol, *rest = values
+    cells = (part, block, nos, *(None if x is None else packed(x) for x in (c, symbol)), *rest)
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(cells, types)], names=["part", "block", "nos", "c", "symbol", "frequent", "end_at", "known"])
 
 
-TOTALS = "part int, block long, nos binary, c binary, symbol binary, frequent array<binary>, totals array<long>, known long"
+TOTALS = "part int, block long, nos binary, c binary, symbol binary, frequent long, end_at long, known long"
+QUESTIONS = "part int, block long, keys binary, runs binary, symbol binary, n binary, shorter binary"
+REPLIES = "part int, block long, counts binary, state binary, total binary, mass binary"
 
 
-def lm_score(docs: DataFrame, train, depth: int = 3, p_min: float = 2e-5, discount: float = 0.75, strictness: float = 2.0) -> DataFrame:
+def _batch(values: tuple, schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([v], types[t]) for v, (_, t) in zip(values, fields)], names=[name for name, _ in fields])
+
+
+def lm_score(docs: DataFrame, train, depth: int = 3, least: int = 2, discount: float = 0.75, strictness: float = 2.0) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score (log10, of the whole text).
 
     train: a boolean column over docs that marks the training documents; null counts as false. Tokens are the words of
     the text after lower-casing A-Z and one end token; a null text is one end token. Without training documents every
     token has the root probability 1. Rows that repeat a doc_id count and are scored one by one; other columns are
-    ignored. p_min bounds what is broadcast: 1 / p_min words and 1 / p_min entries for each depth.
+    ignored. least: occurrences of a context and of each of its entries, whatever the corpus. Only a row for each part
+    goes to the driver.
     """
     spark = docs.sparkSession
     blocks = to_blocks(docs.select("doc_id", "text", train.alias("mark")), splitter, "lm")
     tokens = int(blocks.agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0)
-    least = max(2, int(np.ceil(p_min * tokens)))
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The part's words in training documents, the frequent ones by name; then each block's totals and symbols."""
-        held, total, part = [], defaultdict(int), None
+        """How many words the part has, and how many frequent ones; then each block's totals and symbols."""
+        held, total = [], defaultdict(int)
         for part, block, nos, words, counts in opened(batches):
             held.append((part, block, nos, words))
             for w, n in zip(words, counts.tolist()):
@@ -151,9 +262,8 @@ def lm_score(docs: DataFrame, train, depth: int = 3, p_min: float = 2e-5, discou
             by_part[p].append((block, nos, words))
         for p, rows in by_part.items():
             own = dict.fromkeys(w for _, _, words in rows for w in words)
-            frequent = [w for w in sorted(own) if total[w] >= least or w == END]
-            number = {w: i for i, w in enumerate(frequent)}
-            yield _row(p, None, None, None, None, frequent, [total[w] for w in frequent], sum(total[w] > 0 for w in own))
+            number = {w: i for i, w in enumerate(w for w in sorted(own) if total[w] >= least or w == END)}
+            yield _row(p, None, None, None, None, len(number), number.get(END, -1), sum(total[w] > 0 for w in own))
             for block, nos, words in rows:
                 c = np.fromiter(map(total.__getitem__, words), np.int64, len(words))
                 symbol = np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
@@ -161,75 +271,83 @@ def lm_score(docs: DataFrame, train, depth: int = 3, p_min: float = 2e-5, discou
 
     parts_ = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = written(dealt(blocks, parts_).mapInArrow(trimmed(totals), TOTALS), "counted")
-    # at most 1 / p_min words are frequent, and the end
-    named = counted.where("block is null").select("part", "frequent", "totals", "known").orderBy("part").collect()
+    named = counted.where("block is null").select("part", "frequent", "end_at", "known").orderBy("part").collect()
     known = sum(r["known"] for r in named)
-    offsets, contexts, end = {}, [], 0
+    offsets, symbols, end = {}, 0, 0
     for r in named:
-        offsets[r["part"]] = len(contexts)
-        if END in map(bytes, r["frequent"]):
-            end = len(contexts) + [bytes(w) for w in r["frequent"]].index(END)
-        contexts += r["totals"]
-    contexts = np.array(contexts, np.int64)
-    symbols = max(len(contexts), 1)
+        offsets[r["part"]] = symbols
+        if r["end_at"] >= 0:
+            end = symbols + r["end_at"]
+        symbols += r["frequent"]
     found = counted.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("part", "nos", "c", "symbol")).alias("found"))
-    rows = blocks.select("block", "doc_ids", "marks", "sizes", "at").join(written_by(found, "lm_words", "block").hint("merge"), "block").select("doc_ids", "marks", "sizes", "at", "found")
+    rows = blocks.select("block", "doc_ids", "marks", "sizes", "at").join(written_by(found, "lm_words", "block").hint("merge"), "block").select("block", "doc_ids", "marks", "sizes", "at", "found")
     base = np.log10(tokens + 0.5 * (known + 1))
 
-    def parts(batches: Iterator[pa.RecordBatch]):
+    def opened_blocks(batches: Iterator[pa.RecordBatch], depths: int):
+        """Each block's number, documents and tokens, its tree of so many depths and the hashes of the next one's contexts."""
         for batch in batches:
             for i in range(batch.num_rows):
-                sizes = np.asarray(batch[2][i].values, np.int64)
-                starts, at = by_document(sizes), unpacked(batch[3][i].as_py())
-                found = [(offsets[x["part"]], *(unpacked(x[k]) for k in ("nos", "c", "symbol"))) for x in batch[4][i].as_py()]
+                sizes = np.asarray(batch[3][i].values, np.int64)
+                starts, at = by_document(sizes), unpacked(batch[4][i].as_py())
+                found = [(offsets[x["part"]], *(unpacked(x[k]) for k in ("nos", "c", "symbol"))) for x in batch[5][i].as_py()]
                 c = np.zeros(sum(len(x[1]) for x in found), np.int64)
-                symbol = np.full(len(c), -1, np.int64)
+                word = np.full(len(c), -1, np.int64)
                 for offset, nos, n, s in found:
                     c[nos] = n
-                    symbol[nos[s > 0]] = s[s > 0] - 1 + offset
+                    word[nos[s > 0]] = s[s > 0] - 1 + offset
+                number = np.where(word >= 0, np.arange(len(word)), -1)
                 first = np.zeros(len(at), bool)
                 first[starts[:-1]] = True
-                yield batch[0][i].values, batch[1][i].values.to_numpy(zero_copy_only=False).astype(bool), sizes, starts, c[at], symbol[at], first
+                marks = batch[2][i].values.to_numpy(zero_copy_only=False).astype(bool)
+                block = Block(number[at], first, np.repeat(marks, sizes), int(np.flatnonzero(word == end)[0]), word.astype(np.uint64), 10.0 ** (np.log10(c[at] + 0.5) - base))
+                tree, keys = Tree(len(word), discount, []), word.astype(np.uint64)
+                for d in range(depths):
+                    asked = question(block, tree, keys, parts_)
+                    replies = [(x["part"], *(loose(x[k], t) for k, t in (("counts", "<i8"), ("state", "?"), ("total", "<i8"), ("mass", "<f8")))) for x in batch[6 + d][i].as_py() or []]
+                    deepen(tree, asked, len(keys), replies)
+                    keys = next_keys(tree, keys, block.word)
+                yield batch[0][i].as_py(), batch[1][i].values, sizes, starts, c[at], block, tree, keys
 
-    tree = Tree(symbols, discount, [])
-    root = (contexts + 0.5) / (tokens + 0.5 * (known + 1))
-    suffix: list[np.ndarray] = [np.zeros(0, np.int64)]  # by depth, each context's number one depth up, without its oldest word
     for d in range(depth):
-        shared = spark.sparkContext.broadcast(tree)
-
-        def followers(batches: Iterator[pa.RecordBatch], d=d, shared=shared) -> Iterator[pa.RecordBatch]:
-            tree = shared.value
-            for _, marks, sizes, _, _, symbol, first in parts(batches):
-                *_, context = pasts(symbol, first, end, tree, d + 1)
-                on = np.repeat(marks, sizes) & (context >= 0) & (symbol >= 0)
-                codes, n = np.unique(context[on] * tree.symbols + symbol[on], return_counts=True)
-                for a in range(0, len(codes), 1 << 18):
-                    yield pa.RecordBatch.from_arrays([pa.array(codes[a : a + (1 << 18)], pa.int64()), pa.array(n[a : a + (1 << 18)], pa.int64())], names=["code", "n"])
-
-        # at most 1 / p_min entries come back
-        counted = rows.mapInArrow(trimmed(followers), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-        codes, counts = (counted[k].to_numpy().astype(np.int64) for k in ("code", "n"))
-        order = np.argsort(codes)
-        codes, counts = codes[order], counts[order]
-        owner, symbol = codes // symbols, codes % symbols
-        own = [owner]
-        for k in range(d, 0, -1):
-            own.insert(0, suffix[k][own[0]])
-        shorter = root[symbol]
-        for level, context in zip(tree.levels, own):
-            shorter = in_state(tree, level, shorter, context, symbol)
-        grow(tree, codes, counts, contexts, shorter, strictness, tokens)
-        # the entries are the contexts of the next depth
-        suffix.append(find(tree.levels[d - 1].codes, suffix[d][owner] * symbols + symbol) if d else symbol)
-        contexts = counts
-        if not len(codes):
-            break
-    shared = spark.sparkContext.broadcast(tree)
+
+        def ask(batches: Iterator[pa.RecordBatch], d=d) -> Iterator[pa.RecordBatch]:
+            for number, *_, block, tree, keys in opened_blocks(batches, d):
+                q = question(block, tree, keys, parts_)
+                p = score_tokens(block.p, block.symbol, block.first, block.end, tree)
+                word = np.where(q.symbol > 0, block.word[q.symbol - 1].astype(np.int64) + 1, 0)
+                runs = np.diff(q.starts, append=len(q.part))
+                for k in np.unique(q.part).tolist():
+                    a, b = np.searchsorted(q.part, k), np.searchsorted(q.part, k, "right")
+                    u, v = np.searchsorted(q.starts, (a, b))
+                    shorter = np.where(q.symbol[a:b] > 0, p[q.token[a:b]], 0).astype("<f4")
+                    values = (keys[q.context[q.starts[u:v]]].astype("<u8"), runs[u:v].astype("<i8"), word[a:b].astype("<i8"), q.n[a:b].astype("<i8"), shorter)
+                    yield _batch((k, number, *map(pressed, values)), QUESTIONS)
+
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = defaultdict(list)
+            for batch in batches:
+                for part, number, keys, *values in zip(*(c.to_pylist() for c in batch.columns)):
+                    keys, (runs, word, n, shorter) = loose(keys, "<u8"), (loose(x, t) for x, t in zip(values, ("<i8", "<i8", "<i8", "<f4")))
+                    held[part].append((number, runs, np.repeat(keys, runs), word, n, shorter))
+            for part in list(held):
+                asked = held.pop(part)
+                all_ = judged(*(np.concatenate([x[k] for x in asked]) for k in (2, 3, 4, 5)), discount, strictness, tokens, least)
+                at = 0
+                for number, runs, *_ in asked:
+                    here, size = at + np.cumsum(runs) - runs, int(runs.sum())
+                    counts, state, total, mass = all_[0][at : at + size], *(x[here] for x in all_[1:])
+                    # totals and masses of contexts that are no states are not looked at
+                    yield _batch((part, number, *map(pressed, (counts.astype("<i8"), state, np.where(state, total, 0).astype("<i8"), np.where(state, mass, 0.0).astype("<f8")))), REPLIES)
+                    at += size
+
+        asked = rows.mapInArrow(trimmed(ask), QUESTIONS).repartition(parts_, "part")
+        replies = asked.mapInArrow(trimmed(judge), REPLIES).groupBy("block").agg(F.collect_list(F.struct("part", "counts", "state", "total", "mass")).alias(f"replies{d}"))
+        rows = rows.join(written_by(replies, f"lm_replies{d}", "block").hint("merge"), "block", "left")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, sizes, starts, c, symbol, first in parts(batches):
+        for _, ids, sizes, starts, c, block, tree, _ in opened_blocks(batches, depth):
             p0 = np.log10(c + 0.5) - base
-            p = score_tokens(10.0**p0, symbol, first, end, shared.value)
+            p = score_tokens(block.p, block.symbol, block.first, block.end, tree)
             at = starts[:-1]
             columns = [ids, pa.array(sizes, pa.int64()), pa.array(np.add.reduceat((c > 0).astype(np.int64), at), pa.int64()), pa.array(np.add.reduceat(p0, at)), pa.array(np.add.reduceat(np.log10(p), at))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])

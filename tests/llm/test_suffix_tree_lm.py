@@ -61,3 +61,12 @@ def test_nothing_to_learn_from(docs):
     got = lm.lm_score(docs([(1, "a b"), (2, None)]), F.lit(False)).collect()
     assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got) == [(1, 3, 0, 0, 0.0, 0.0), (2, 1, 0, 0, 0.0, 0.0)]
     assert lm.lm_score(docs([]), F.lit(True)).count() == 0
+
+
+def test_rare_contexts_count_in_a_large_corpus(docs):
+    """Six occurrences are enough among 400,000 tokens: the tree grows with the corpus."""
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 50, 2000))) for i in range(200)]
+    rows += [(1000 + i, "alpha beta gamma delta epsilon zeta") for i in range(7)]
+    got = {r.doc_id: r for r in lm.lm_score(docs(rows), F.col("doc_id") < 1006).collect()}
+    assert got[1006].train_tokens > 400_000 and got[1006].score > got[1006].base_score + 3

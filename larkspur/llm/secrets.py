@@ -2,10 +2,13 @@
 
 Candidates are long runs of code-like characters. The encoding is inferred from the characters (hexadecimal, base 32,
 letters and digits, base 64) and gives every character a value. Three statistics compare a candidate with text: the
-chi-squared distance from a uniform alphabet, the number of runs above and below the alphabet's middle, and the lag-1
-serial correlation. The null hypothesis of each test is the text-like one (a chi-squared excess per character, a share
-of missing runs, or a correlation of at least a fixed size), so short candidates cannot reach a small p-value. A candidate must
-pass all three, so its p-value is their maximum. Benjamini-Hochberg control runs over all candidates of the corpus
+chi-squared distance from a uniform alphabet, the number of runs, and the lag-1 serial correlation. The null hypothesis
+of each test is the text-like one (a chi-squared excess per character, a share of changes, or a correlation of at least a
+fixed size). Where an alphabet has several classes of characters (capitals, small letters, digits), runs are those of a
+class, since names seldom change class and keys do so all the time; the evidence of this and of chi-squared, which looks at
+frequencies and not at order, is added by Stouffer's method, and a candidate correlated like a sequence is none. Letters of
+one case have one class: they must pass all three tests with runs about the alphabet's middle, and short ones cannot reach
+a small p-value. Benjamini-Hochberg control runs over all candidates of the corpus
 within bands of length, from counts of p-values in fixed bins; no candidate list is ever gathered.
 """
 
@@ -35,6 +38,9 @@ ALPHABETS = {"hex": (16, 1.0), "base32": (32, 0.92), "letters": (26, 0.56), "bas
 #: The other effects that the tests must reject: lost share of runs, correlation.
 RUNS_LOST, CORRELATION = 0.5, 0.6
 
+#: Share of neighbours of different classes that names have at most; separators are no class and no neighbours.
+CHANGES = {"hex": 0.15, "base32": 0.15, "letters": 0.0, "base36": 0.15, "base64": 0.3}
+
 #: Bands of length, each with its own false-discovery control, and bins of -log10 p.
 BANDS, BINS, BIN_WIDTH = (20, 24, 32, 48, 64, 128, 256), 400, 0.05
 
@@ -89,8 +95,14 @@ def normal_below(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(0.07056) * z * z * z + F.lit(1.5976) * z)))
 
 
+def safely_below(z: Column) -> Column:
+    """P(Z <= z) of a standard normal, never too small in the lower tail, where Mills' ratio bounds it."""
+    far = F.greatest(F.least(z, F.lit(-2.0)), F.lit(-35.0))
+    return F.when(z < -2, F.exp(-far * far / 2) / (-far * math.sqrt(2 * math.pi))).otherwise(normal_below(z))
+
+
 def battery(tokens: DataFrame) -> DataFrame:
-    """tokens with a string column token: adds encoding, k (alphabet size), n and p, the largest of the three p-values.
+    """tokens with a string column token: adds encoding, k (alphabet size), n and p, combined from the tests.
 
     A token with a repeated-character or one-letter alphabet has no variance; its p is 1.
     """
@@ -112,18 +124,30 @@ def battery(tokens: DataFrame) -> DataFrame:
     rows = rows.withColumn("pairs", shifted)
     rows = rows.withColumn("variance", F.aggregate("v", zero, lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))))
     rows = rows.withColumn("covariance", F.aggregate("pairs", zero, lambda a, p: a + (p["a"] - F.col("mean")) * (p["b"] - F.col("mean"))))
+    # neighbours that are both letters or digits, and whether their classes differ
+    classes = F.transform(F.split(t, ""), lambda c: F.when(c.rlike("[0-9]"), 0).when(c.rlike("[A-Z]"), 1).when(c.rlike("[a-z]"), 2))
+    rows = rows.withColumn("classes", classes)
+    rows = rows.withColumn("classes", F.filter(F.zip_with(F.slice("classes", 1, F.size("classes") - 1), F.slice("classes", 2, F.size("classes") - 1), lambda a, b: a != b), lambda x: x.isNotNull()))
+    rows = rows.withColumn("class_pairs", F.size("classes").cast("double")).withColumn("class_changes", F.size(F.filter("classes", lambda x: x)).cast("double"))
     half = F.col("k") / 2.0
     rows = rows.withColumn("changes", F.aggregate("pairs", zero, lambda a, p: a + F.when((p["a"] < half) != (p["b"] < half), 1.0).otherwise(0.0)))
     n, k = F.col("n"), F.col("k").cast("double")
     chi = k * F.col("squares") / n - n
     excess = n * excesses[F.col("encoding")]
-    p_chi = normal_below((chi - (k - 1 + excess)) / F.sqrt(2 * (k - 1 + 2 * excess)))
+    z_chi = (chi - (k - 1 + excess)) / F.sqrt(2 * (k - 1 + 2 * excess))
+    p_chi = safely_below(z_chi)
     lost = (n - 1) / 2 * (1 - F.lit(RUNS_LOST))
     p_runs = 1 - normal_below((F.col("changes") - lost) / F.sqrt((n - 1) / 4))
     r = F.when(F.col("variance") > 0, F.col("covariance") / F.col("variance")).otherwise(1.0)
     p_serial = normal_below((F.abs(r) - CORRELATION) * F.sqrt(n))
-    p = F.when(F.col("variance") > 0, F.greatest(p_chi, p_runs, p_serial)).otherwise(1.0)
-    return rows.withColumn("p", F.least(p, F.lit(1.0))).drop("folded", "order", "v", "squares", "mean", "pairs", "variance", "covariance", "changes")
+    usual = F.create_map(*[F.lit(x) for name, v in CHANGES.items() for x in (name, v)])[F.col("encoding")]
+    m = F.col("class_pairs")
+    # the arcsine makes the variance of a share the same everywhere
+    z_class = F.when(m > 0, 2 * F.sqrt(m) * (F.asin(F.sqrt(usual)) - F.asin(F.sqrt(F.col("class_changes") / m)))).otherwise(0.0)
+    p_mixed = F.when(F.abs(r) < CORRELATION, safely_below((z_chi + z_class) / math.sqrt(2))).otherwise(1.0)
+    p = F.when(F.col("encoding") == "letters", F.greatest(p_chi, p_runs, p_serial)).otherwise(p_mixed)
+    p = F.when(F.col("variance") > 0, p).otherwise(1.0)
+    return rows.withColumn("p", F.least(p, F.lit(1.0))).drop("folded", "order", "v", "squares", "mean", "pairs", "variance", "covariance", "changes", "classes", "class_pairs", "class_changes")
 
 
 def banded(tokens: DataFrame) -> DataFrame:

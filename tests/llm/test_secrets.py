@@ -58,3 +58,29 @@ def test_empty_and_native(docs):
     out = s.secret_scan(docs([]))
     assert out.count() == 0
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_short_keys_among_many_names(docs):
+    """Recall of base-64 keys by length band, at 2 % of the candidates, and few names reported."""
+    rng = random.Random(3)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    parts = "service factory builder request response handler manager config value index buffer stream reader writer user account order customer product review window default provider context token parser".split()
+    bands = ((20, 23), (24, 31), (32, 47))
+    rows, keys, names = [], {band: [] for band in bands}, []
+    for low, high in bands:
+        for i in range(30 * 50):
+            n = rng.randint(low, high)
+            if i % 50 == 0:
+                text = "".join(rng.choice(alphabet) for _ in range(n))
+                keys[low, high].append(len(rows))
+            else:
+                sep = rng.choice(["", "_", "-", "/"])
+                words = [rng.choice(parts) for _ in range(12)]
+                text = sep.join(w.capitalize() if not sep else w for w in words)[:n]
+                names.append(len(rows))
+            rows.append((len(rows), f"see {text} here"))
+    got = {r.doc_id: any(x.kind == 3 for x in r.spans) for r in s.secret_scan(docs(rows)).collect()}
+    recall = {band: sum(got[i] for i in own) / 30 for band, own in keys.items()}
+    print(recall, sum(got[i] for i in names))
+    assert recall[20, 23] >= 0.3 and recall[24, 31] >= 0.7 and recall[32, 47] >= 0.9
+    assert sum(got[i] for i in names) <= 2

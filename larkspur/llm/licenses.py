@@ -58,22 +58,41 @@ RULES = (
     ("Proprietary", "notice", ("all-rights-reserved",)),
 )
 
-#: A sentence ends at ; ! ? or at a dot that a blank or the end follows, and at a line end.
-BREAK = r"[\n\r;!?]+|\.+(?=\s|$)"
+#: What ends every sentence: ! ? or dots that a blank or the end follows.
+FLOWING = r"[!?]+|\.+(?=\s|$)"
 
-#: The same without line ends, for licence texts whose sentences run over several lines.
-FLOWING = r"[;!?]+|\.+(?=\s|$)"
+#: What may end one or stand within: a line end, a colon or a semicolon. Headings and copyright lines often have no other end.
+BREAK = r"[\n\r:;]+"
 
 
-def sentence_ids(text: Column, table: Column) -> Column:
-    """Identifiers of a text's known sentences, in order, by whichever of the two cuts finds more (first the lines)."""
+def sentence_ids(text: Column, table: Column, telling: str, words: int) -> Column:
+    """Identifiers of a text's known sentences, in order: runs of pieces between two FLOWING ends, the longest from the left.
 
-    def ids(cut: str) -> Column:
-        parts = F.split(F.lower(text), cut, -1)
-        return F.filter(F.transform(parts, lambda s: F.element_at(table, normalised(s))), lambda x: x.isNotNull())
+    Every run of neighbouring lines and parts at colons and semicolons is looked up, so a sentence may be wrapped, and follow or precede
+    lines without a full stop. telling: a pattern that every known sentence matches; words: most words of one.
+    """
+    known = F.map_keys(table)
+
+    def ids(stretch: Column) -> Column:
+        parts = F.filter(F.transform(F.split(stretch, BREAK, -1), normalised), lambda s: s != "")
+
+        def longest(s: Column, i: Column) -> Column:
+            """The longest known run that starts here, as (size, id); only a known sentence's beginning is tried."""
+            runs = F.transform(F.sequence(F.lit(1), F.least(F.lit(words), F.size(parts) - i)), lambda n: F.struct(n.alias("size"), F.element_at(table, F.array_join(F.slice(parts, i + 1, n), " ")).alias("id")))
+            hit = F.array_max(F.filter(runs, lambda r: r["id"].isNotNull()))
+            return F.when(F.exists(known, lambda k: (k == s) | F.startswith(k, F.concat(s, F.lit(" ")))), F.struct(i.alias("at"), hit.alias("hit")))
+
+        hits = F.filter(F.transform(parts, longest), lambda x: x["hit"].isNotNull())
+        start = F.struct(F.lit(0).alias("free"), F.array().cast("array<string>").alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            taken = F.struct((x["at"] + x["hit"]["size"]).alias("free"), F.concat(acc["out"], F.array(x["hit"]["id"])).alias("out"))
+            return F.when(x["at"] >= acc["free"], taken).otherwise(acc)
+
+        return F.aggregate(hits, start, step, lambda acc: acc["out"])
 
-    lines, flowing = ids(BREAK), ids(FLOWING)
-    return F.when(F.size(flowing) > F.size(lines), flowing).otherwise(lines)
+    stretches = F.filter(F.split(F.lower(text), FLOWING, -1), lambda s: s.rlike(telling))
+    return F.flatten(F.transform(stretches, ids))
 
 
 def normalised(s: Column) -> Column:
@@ -103,9 +122,10 @@ def license_scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: tupl
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     text = F.coalesce("text", F.lit(""))
     # a text with a known sentence has the sentence's longest word: texts without any of those need no cutting
-    telling = F.lower(text).rlike("|".join(sorted({max(re.findall(r"[^\W\d_]+", s), key=len) for s in known})))
+    telling = "|".join(sorted({max(re.findall(r"[^\W\d_]+", s), key=len) for s in known}))
+    words = max(len(s.split()) for s in known)
     rows = docs.select("doc_id", "text").withColumn("__lk_table", table)
-    rows = rows.withColumn("sentence_ids", F.when(telling, sentence_ids(text, F.col("__lk_table"))).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("sentence_ids", F.when(F.lower(text).rlike(telling), sentence_ids(text, F.col("__lk_table"), telling, words)).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn("matches", F.concat(*[rule_hits(*rule) for rule in rules]))
     rows = rows.withColumn("licenses", F.array_sort(F.array_distinct(F.transform("matches", lambda m: F.split_part(m, F.lit(":"), F.lit(1))))))
     return rows.select("doc_id", "sentence_ids", "licenses", "matches", F.size("licenses").cast("long").alias("n_licenses"))

@@ -58,3 +58,40 @@ def test_native_and_empty(docs):
     out = c.license_scan(docs([]))
     assert out.count() == 0
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY."""
+GPL_HEADER = """# Copyright (C) 2020 Some Body
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+
+
+def test_unaltered_files(docs):
+    """With headings, copyright lines and colons, wrapped or on one line."""
+    rows = [(1, MIT_FILE), (2, " ".join(MIT_FILE.split("\n")[4:])), (3, GPL_HEADER)]
+    got = {r.doc_id: r for r in c.license_scan(docs(rows)).collect()}
+    assert got[1].matches == got[2].matches == ["MIT:full-text:0"]
+    assert got[3].sentence_ids == ["gpl-3-grant", "gpl-warranty"] and got[3].licenses == ["GPL-3.0"]

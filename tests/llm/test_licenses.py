@@ -95,3 +95,14 @@ def test_unaltered_files(docs):
     got = {r.doc_id: r for r in c.license_scan(docs(rows)).collect()}
     assert got[1].matches == got[2].matches == ["MIT:full-text:0"]
     assert got[3].sentence_ids == ["gpl-3-grant", "gpl-warranty"] and got[3].licenses == ["GPL-3.0"]
+
+
+def test_a_notice_line_and_a_wrapped_text_are_both_found(docs):
+    bsd = """Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+distribution."""
+    notices = ("SPDX-License-Identifier: MIT", "Released under the MIT License")
+    got = {r.doc_id: r for r in c.license_scan(docs([(i, f"{n}\n{bsd}") for i, n in enumerate(notices)])).collect()}
+    for r in got.values():
+        assert r.sentence_ids == ["mit-notice", "bsd-source", "bsd-binary"] and r.licenses == ["BSD-2-Clause", "MIT"]

@@ -5,21 +5,26 @@ the same smallest gram of `length // 2` bytes in both places, so only suffixes t
 about one in a hundred, and of those only the ones whose gram occurs again. Each window of `length` bytes belongs to
 one anchor, and an anchor's windows are consecutive.
 
-Anchors whose whole context (all bytes of all their windows) occurs again are settled by counts, so copies of
-any number cost one aggregated row. The other contexts, one for each distinct context, are the suffixes to sort: sampled
-splitters range-partition them by their leading bytes, a bucket sorts its suffixes by multikey quicksort on 8-byte
+Copies of one context (all bytes of all of an anchor's windows) collapse to one representative by a keyed digest, so copies of
+any number cost one aggregated row. The representatives are the suffixes to sort: sampled splitters range-partition them
+by their leading tokens and their gram, a bucket sorts its suffixes by multikey quicksort on 8-byte
 tokens, and their left contexts likewise. Neighbours' common prefixes then tell for each offset which windows are equal.
-Suffixes with the same gram always share a bucket, so no match crosses a boundary; a gram with very many distinct contexts
-is not put in a bucket but counted window by window across the cluster.
+Suffixes with the same gram always share a bucket, so there is nothing to compare across a boundary; a gram with more distinct
+contexts than a bucket may hold is counted window by window across the cluster, by keyed digests too.
+
+Nothing is removed on the word of a digest. Whatever was taken for a copy is compared with its representative byte by byte:
+neighbouring windows with one representative make one run, runs are cut at the pages of the representative's text, and
+pieces meet pages in a join. If any piece differs the job is done again with another key and longer digests.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +37,15 @@ SEGMENT = 1 << 22
 #: Leading bytes of a suffix, four tokens, by which buckets are split.
 LEADING = 32
 
-#: Distinct contexts of one gram up to which they are sorted in one bucket.
-HOT = 20_000
+#: Bytes of the contexts of a bucket on average, and distinct contexts of one gram that share a bucket at most.
+BUCKET, HOT = 16 << 20, 20_000
+
+#: Pages of texts that copies are compared with.
+PAGE = 2048
 
 _RNG = np.random.default_rng(23)
-_TABLES = _RNG.integers(0, 1 << 64, (2, 256), dtype=np.uint64)
-_BASES = [int(b) | 1 for b in _RNG.integers(1 << 40, 1 << 63, 2)]
+_TABLE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
+_BASE = int(_RNG.integers(1 << 40, 1 << 63)) | 1
 
 
 class Powers:
@@ -54,21 +62,16 @@ class Powers:
             self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.inverse, more, 1 << 64))])
 
 
-_POWERS = [Powers(b) for b in _BASES]
-
-
-def prefix_hashes(data: np.ndarray, which: int) -> np.ndarray:
-    """Running sums from which range_hash() gives the hash of any range of data."""
-    powers = _POWERS[which]
-    powers.upto(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLES[which][data] * powers.down[: len(data)], out=out[1:])
-    return out
+_POWERS = Powers(_BASE)
 
 
-def range_hash(sums: np.ndarray, which: int, a: np.ndarray | slice, b: np.ndarray | slice) -> np.ndarray:
-    """64-bit hashes of ranges a to b, wherever they lie."""
-    return (sums[b] - sums[a]) * _POWERS[which].up[a]
+def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of all grams of so many bytes. They choose anchors and group them; equality of grams does not rest on them."""
+    n = len(data) - size + 1
+    _POWERS.upto(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_TABLE[data] * _POWERS.down[: len(data)], out=sums[1:])
+    return (sums[size:] - sums[:n]) * _POWERS.up[:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -89,55 +92,52 @@ def window_minima(keys: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Anchors of the texts data[starts[i]:ends[i]]: text, anchor, first and last window, gram hash, context hash."""
+    """Anchors of the texts data[starts[i]:ends[i]]: text, anchor, first and last window, gram hash."""
     k = length // 2
     w = length - k + 1
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    first = prefix_hashes(data, 0)
-    n = len(data) - k + 1
-    grams = range_hash(first, 0, slice(0, n), slice(k, len(data) + 1))
-    keys = (mixed(grams) & np.uint64(0xFFFFFFFFFF000000)) | np.arange(n, dtype=np.uint64)
+        return none, none, none, none, none.astype(np.uint64)
+    grams = gram_hashes(data, k)
+    keys = (mixed(grams) & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(grams), dtype=np.uint64)
     at = (window_minima(keys, w) & np.uint64(0xFFFFFF)).astype(np.int64)
     text = np.repeat(np.arange(len(starts)), ends - starts)[: len(at)]
     inside = np.arange(len(at)) + length <= ends[text]
     windows = np.flatnonzero(inside)
     if not len(windows):
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64)
     a, t = at[windows], text[windows]
     new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (t[1:] != t[:-1])]))
     low, high = windows[new], windows[np.concatenate([new[1:], [len(windows)]]) - 1]
-    a, t = a[new], t[new]
-    context = range_hash(prefix_hashes(data, 1), 1, low, high + length)
-    context = mixed(context + (a - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + mixed((high - low).astype(np.uint64) + np.uint64(77))
-    return t, a, low, high, grams[a], context
+    return t[new], a[new], low, high, grams[a[new]]
 
 
-def all_anchors(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, th, at, low, high, g, c) of docs(doc_id, th, text)."""
-    schema = "doc_id long, th long, at int, low int, high int, g long, c long"
+def all_anchors(docs: DataFrame, length: int, key: bytes, digest_bytes: int) -> DataFrame:
+    """(id, th, at, low, high, g, c) of docs(id, th, text): c is the keyed digest of an anchor's context."""
+    schema = "id long, th long, at int, low int, high int, g long, c binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         used = 0
+        digest = hashlib.blake2b
 
         def flushed() -> pa.RecordBatch:
             sizes = np.array([len(x[3]) for x in held], np.int64)
             ends = np.cumsum(sizes)
-            t, *found = anchors(np.frombuffer(b"".join(x[3] for x in held), np.uint8), ends - sizes, ends, length)
-            ids = pa.array([x[0] for x in held], pa.int64()).take(pa.array(t))
-            th = np.array([x[1] for x in held], np.int64)[t]
+            data = b"".join(x[3] for x in held)
+            t, *found, g = anchors(np.frombuffer(data, np.uint8), ends - sizes, ends, length)
+            c = [digest(data[a:b], digest_size=digest_bytes, key=key).digest() for a, b in zip(found[1].tolist(), (found[2] + length).tolist())]
+            ids, th = (np.array([x[i] for x in held], np.int64)[t] for i in range(2))
             shift = (np.array([x[2] for x in held], np.int64) - (ends - sizes))[t]
-            columns = [ids, pa.array(th), *(pa.array((x + shift).astype(np.int32)) for x in found[:3]), *(pa.array(x.view(np.int64)) for x in found[3:])]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "at", "low", "high", "g", "c"])
+            columns = [pa.array(ids), pa.array(th), *(pa.array((x + shift).astype(np.int32)) for x in found), pa.array(g.view(np.int64)), pa.array(c, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["id", "th", "at", "low", "high", "g", "c"])
 
         for batch in batches:
-            for doc_id, th, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2]):
-                data = (text.as_py() or "").encode()
+            for id_, th, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2]):
+                data = text.as_py().encode()
                 for s in range(0, max(len(data) - length + 1, 0), SEGMENT):
                     part = data[s : s + SEGMENT + length - 1]
-                    held.append((doc_id, th, s, part))
+                    held.append((id_, th, s, part))
                     used += len(part)
                     if used >= BUFFER:
                         yield flushed()
@@ -146,7 +146,7 @@ def all_anchors(docs: DataFrame, length: int) -> DataFrame:
         if held:
             yield flushed()
 
-    return docs.select(F.col("doc_id").cast("long"), "th", "text").mapInArrow(trimmed(run), schema)
+    return docs.select("id", "th", "text").mapInArrow(trimmed(run), schema)
 
 
 def multikey_sort(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,26 +221,26 @@ def runs(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def cut_contexts(rows: DataFrame, length: int) -> DataFrame:
-    """Bytes around the anchors of rows(doc_id, th, text, anchors)."""
-    names = ["doc_id", "th", "at", "low", "high", "g", "hot", "single", "left", "right"]
+    """Bytes around the anchors of rows(id, th, text, anchors)."""
+    names = ["id", "th", "at", "low", "high", "g", "hot", "single", "left", "right"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, th, text, found in zip(*(batch[i] for i in range(4))):
+            for id_, th, text, found in zip(*(batch[i] for i in range(4))):
                 data, found = text.as_py().encode(), found.as_py()
                 for s in range(0, len(found), 4096):
                     some = found[s : s + 4096]
                     n = len(some)
-                    columns = [pa.array([doc_id.as_py()] * n, pa.int64()), pa.array([th.as_py()] * n, pa.int64())]
+                    columns = [pa.array([id_.as_py()] * n, pa.int64()), pa.array([th.as_py()] * n, pa.int64())]
                     columns += [pa.array([x[k] for x in some], t) for k, t in (("at", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("g", pa.int64()), ("hot", pa.bool_()), ("single", pa.bool_()))]
                     columns += [pa.array([data[x["low"] : x["at"]] for x in some], pa.binary()), pa.array([data[x["at"] : x["high"] + length] for x in some], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.select("doc_id", "th", "text", "anchors").mapInArrow(trimmed(run), "doc_id long, th long, at int, low int, high int, g long, hot boolean, single boolean, left binary, right binary")
+    return rows.select("id", "th", "text", "anchors").mapInArrow(trimmed(run), "id long, th long, at int, low int, high int, g long, hot boolean, single boolean, left binary, right binary")
 
 
-def sorted_buckets(contexts: DataFrame, length: int) -> DataFrame:
-    """(doc_id, th, first, last): runs of repeated windows, from range-partitioned buckets of suffixes."""
+def sorted_buckets(contexts: DataFrame, length: int, bucket: int = BUCKET) -> DataFrame:
+    """(id, th, first, last): runs of repeated windows, from range-partitioned buckets of suffixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(batches)
@@ -251,56 +251,125 @@ def sorted_buckets(contexts: DataFrame, length: int) -> DataFrame:
         again = repeated_windows(table["left"].to_pylist(), table["right"].to_pylist(), at - high, at - low, length)
         again &= table["single"].to_numpy()[:, None]
         row, first, last = runs(again)
-        ids, th = table["doc_id"].combine_chunks().take(pa.array(row)), table["th"].combine_chunks().take(pa.array(row))
-        yield pa.RecordBatch.from_arrays([ids, th, pa.array((at[row] - last).astype(np.int32)), pa.array((at[row] - first).astype(np.int32))], names=["doc_id", "th", "first", "last"])
+        ids, th = table["id"].combine_chunks().take(pa.array(row)), table["th"].combine_chunks().take(pa.array(row))
+        yield pa.RecordBatch.from_arrays([ids, th, pa.array((at[row] - last).astype(np.int32)), pa.array((at[row] - first).astype(np.int32))], names=["id", "th", "first", "last"])
 
-    columns = ["doc_id", "th", "at", "low", "high", "single", "left", "right"]
-    # sampled splitters on the leading tokens deal the suffixes out; a gram is never split, since equal keys stay together
-    by_range = contexts.select(*columns).repartitionByRange(F.substring("right", 1, min(LEADING, length // 2)))
-    return by_range.mapInArrow(trimmed(run), "doc_id long, th long, first int, last int")
+    columns = ["id", "th", "at", "low", "high", "single", "left", "right"]
+    size = contexts.agg(F.sum(F.octet_length("left") + F.octet_length("right"))).first()[0] or 0
+    parts = max(int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket))
+    # sampled splitters deal the suffixes out by leading tokens, those with equal ones by gram; a gram is never split, since equal keys stay together
+    by_range = contexts.select(*columns, "g").repartitionByRange(parts, F.substring("right", 1, min(LEADING, length // 2)), "g").drop("g")
+    return by_range.mapInArrow(trimmed(run), "id long, th long, first int, last int")
 
 
-def counted_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for contexts of grams with too many of them: every window is a row, counted by its hash."""
+def counted_windows(contexts: DataFrame, length: int, key: bytes, digest_bytes: int) -> DataFrame:
+    """Repeated windows of grams with too many contexts, as copies of a representative: (id, th, first, last, r_id, r_th, r_first, r_last)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, th, at, low, high, single, left, right in zip(*(c.to_pylist() for c in batch.columns)):
-                data = left + right
-                n = high - low + 1
-                digests = [xxhash.xxh3_128_digest(data[i : i + length]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * n, pa.int64()), pa.array([th] * n, pa.int64()), pa.array(range(low, high + 1), pa.int32()), pa.array([single] * n, pa.bool_()), pa.array(digests, pa.binary())], names=["doc_id", "th", "first", "single", "digest"])
+            for id_, th, low, high, left, right in zip(*(c.to_pylist() for c in batch.columns)):
+                data, n = left + right, high - low + 1
+                digests = [hashlib.blake2b(data[i : i + length], digest_size=digest_bytes, key=key).digest() for i in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array([id_] * n, pa.int64()), pa.array([th] * n, pa.int64()), pa.array(range(low, high + 1), pa.int32()), pa.array(digests, pa.binary())], names=["id", "th", "first", "digest"])
 
-    windows = contexts.select("doc_id", "th", "at", "low", "high", "single", "left", "right").mapInArrow(run, "doc_id long, th long, first int, single boolean, digest binary")
-    again = windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    return windows.where("single").join(again.hint("merge"), "digest").select("doc_id", "th", "first", F.col("first").alias("last"))
+    windows = contexts.select("id", "th", "low", "high", "left", "right").mapInArrow(run, "id long, th long, first int, digest binary")
+    windows = written(windows, "windows")
+    again = windows.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "first")).alias("one")).where("n > 1").drop("n")
+    again = written(again, "again")  # a plain side, which AQE can split where a window is hot
+    return windows.join(again.hint("merge"), "digest").select("id", "th", "first", F.col("first").alias("last"), F.col("one.id").alias("r_id"), F.col("one.th").alias("r_th"), F.col("one.first").alias("r_first"), F.col("one.first").alias("r_last"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, spans (array of start, end), kept (binary).
+def pieces(rows: DataFrame, length: int) -> DataFrame:
+    """Copies' bytes by page of their representatives, and those pages: (r_id, r_th, page, begin, data, page_data).
 
-    Every byte covered by a string of `length` bytes that also starts anywhere else is removed: in another text, in
-    another row with the same text, or elsewhere in its own text, overlaps included. spans are the maximal removed runs
-    in bytes of the UTF-8 text, kept the other bytes. A null text counts as empty; texts shorter than `length` lose
-    nothing. Rows that repeat doc_id and text share one result; a null doc_id is an id like any other. Other columns are
-    ignored. length is at least 16.
+    rows: (id, th, text, copies), copies being structs (first, last, r_id, r_th, r_first).
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    found = written(all_anchors(docs, length), "anchors")
+    names = ["r_id", "r_th", "page", "begin", "data", "page_data"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 64):
+                part = batch.slice(a, 64)
+                texts = [t.as_py().encode() for t in part[2]]
+                flat = part[3].flatten()
+                doc = np.repeat(np.arange(part.num_rows), part[3].value_lengths().to_numpy())
+                first, last, r_id, r_th, r_first = (flat.field(i).to_numpy().astype(np.int64) for i in range(5))
+                own_id, own_th = part[0].to_numpy()[doc], part[1].to_numpy()[doc]
+                own = (r_id == own_id) & (r_th == own_th) & (r_first == first)
+                shift = r_first - first
+                order = np.lexsort((first, shift, r_th, r_id, doc))
+                doc, first, last, r_id, r_th, shift, own = (x[order] for x in (doc, first, last, r_id, r_th, shift, own))
+                # neighbours that touch in both texts are one run
+                split = (np.diff(doc) != 0) | (np.diff(r_id) != 0) | (np.diff(r_th) != 0) | (np.diff(shift) != 0) | (first[1:] > last[:-1] + length)
+                new = np.flatnonzero(np.concatenate([[True], split])) if len(doc) else np.zeros(0, np.int64)
+                ends = np.maximum.reduceat(last, new) + length if len(new) else new
+                out = []
+                for d, x, y, move, i, h, mine in zip(*(v.tolist() for v in (doc[new], first[new], ends, shift[new], r_id[new], r_th[new], own[new]))):
+                    for page in range((x + move) // PAGE, (y + move - 1) // PAGE + 1):
+                        if mine:
+                            out.append((i, h, page, None, None, texts[d][page * PAGE : (page + 1) * PAGE]))
+                        else:
+                            begin, end = max(x + move, page * PAGE), min(y + move, (page + 1) * PAGE)
+                            out.append((i, h, page, begin - page * PAGE, texts[d][begin - move : end - move], None))
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=names)
+
+    return rows.select("id", "th", "text", "copies").mapInArrow(trimmed(run), "r_id long, r_th long, page int, begin int, data binary, page_data binary")
+
+
+def differ(copies: DataFrame, docs: DataFrame, length: int) -> bool:
+    """Whether any of copies(id, th, first, last, r_id, r_th, r_first, r_last) is not what its representative is, byte by byte."""
+    if copies.agg(F.count_if(F.expr("last - first <> r_last - r_first"))).first()[0]:
+        return True
+    asked = copies.groupBy("id", "th").agg(F.collect_set(F.struct("first", "last", "r_id", "r_th", "r_first")).alias("copies"))
+    asked = written(asked, "asked")
+    texts = maybe_in(docs.select("id", "th", "text"), "th", key_bits(asked, "th")).dropDuplicates(["id", "th"])
+    cut = written(pieces(texts.join(asked.hint("merge"), ["id", "th"]), length), "pieces")
+    # a representative's runs may share a page
+    pages = cut.where("page_data is not null").groupBy("r_id", "r_th", "page").agg(F.first("page_data").alias("page_data"))
+    pages = written(pages, "pages")
+    met = cut.where("data is not null").drop("page_data").join(pages.hint("merge"), ["r_id", "r_th", "page"], "left")
+    return met.agg(F.count_if(F.expr("not (substring(page_data, begin + 1, octet_length(data)) <=> data)"))).first()[0] > 0
+
+
+def repeated_runs(docs: DataFrame, length: int, hot: int, digest_bytes: int) -> DataFrame | None:
+    """(id, th, repeats) of docs(id, th, text), repeats being structs (first, last) of windows; None if digests were wrong."""
+    key = os.urandom(32)
+    found = written(all_anchors(docs, length, key, digest_bytes), "anchors")
     # written, so that the join's two sides are plain exchanges and AQE can split a gram that very many places share
     again = written(found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "grams")
     found = written(found.join(again.hint("merge"), "g"), "repeated")
-    contexts = written(found.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "at", "low", "high")).alias("one")), "contexts")
-    settled = found.join(contexts.where("n > 1").select("g", "c").hint("merge"), ["g", "c"]).select("doc_id", "th", F.col("low").alias("first"), F.col("high").alias("last"))
+    contexts = written(found.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "at", "low", "high")).alias("one")), "contexts")
+    same = contexts.where("n > 1").select("g", "c", F.col("one.id").alias("r_id"), F.col("one.th").alias("r_th"), F.col("one.low").alias("r_first"), F.col("one.high").alias("r_last"))
+    settled = found.join(same.hint("merge"), ["g", "c"]).select("id", "th", F.col("low").alias("first"), F.col("high").alias("last"), "r_id", "r_th", "r_first", "r_last")
     mixed_ = contexts.groupBy("g").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("g", (F.col("m") > hot).alias("hot"))
     open_ = contexts.join(mixed_.hint("merge"), "g").select("one.*", "g", "hot", (F.col("n") == 1).alias("single"))
-    open_ = written(open_.groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "low", "high", "g", "hot", "single")).alias("anchors")), "open")
-    texts = maybe_in(docs, "th", key_bits(open_, "th")).dropDuplicates(["doc_id", "th"])
-    same = F.col("o.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("o.th") == F.col("t.th"))
-    cut = written(cut_contexts(texts.alias("t").join(open_.alias("o").hint("merge"), same).select("t.doc_id", "t.th", "t.text", "o.anchors"), length), "cut")
-    repeats = settled.union(sorted_buckets(cut.where("not hot"), length)).union(counted_windows(cut.where("hot"), length))
-    spans = repeats.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "last")).alias("repeats"))
-    spans = written(spans, "spans")
+    open_ = written(open_.groupBy("id", "th").agg(F.collect_list(F.struct("at", "low", "high", "g", "hot", "single")).alias("anchors")), "open")
+    texts = maybe_in(docs.select("id", "th", "text"), "th", key_bits(open_, "th")).dropDuplicates(["id", "th"])
+    cut = written(cut_contexts(texts.join(open_.hint("merge"), ["id", "th"]), length), "cut")
+    copies = written(settled.union(counted_windows(cut.where("hot"), length, key, digest_bytes)), "copies")
+    if differ(copies, docs, length):
+        return None
+    repeats = copies.select("id", "th", "first", "last").union(sorted_buckets(cut.where("not hot"), length))
+    return written(repeats.groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("repeats")), "spans")
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT, digest_bytes: int = 16) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, spans (array of start, end), kept (binary).
+
+    Every byte covered by a string of `length` bytes that also starts anywhere else is removed: in another text, in
+    another row with the same text, or elsewhere in its own text, overlaps included. spans are the maximal removed runs
+    in bytes of the UTF-8 text, kept the other bytes. A null text counts as empty; texts shorter than `length` lose
+    nothing; texts of any length are read whole, in overlapping segments; an empty table gives an empty result. Rows that
+    repeat doc_id and text share one result; a null doc_id is an id like any other. Other columns are
+    ignored. length is at least 16. digest_bytes: size of the digests that propose copies, doubled when the byte check fails.
+    """
+    # the seed keeps th from being foreseen; a row without doc_id is told from any with one
+    seed = int.from_bytes(os.urandom(7))
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), "text").alias("th"), "text")
+    while (spans := repeated_runs(docs, length, hot, digest_bytes)) is None:
+        digest_bytes = min(2 * digest_bytes, 64)
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,6 +390,5 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFr
 
     flagged = maybe_flag(docs, "th", key_bits(spans, "th"), "maybe")
     clean = flagged.where("not maybe").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.col("text").cast("binary").alias("kept"))
-    same = F.col("s.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("s.th") == F.col("t.th"))
-    rest = flagged.where("maybe").alias("t").join(spans.alias("s").hint("merge"), same, "left").select("t.doc_id", "t.text", "s.repeats")
+    rest = flagged.where("maybe").join(spans.hint("merge"), ["id", "th"], "left").select("doc_id", "text", "repeats")
     return clean.union(rest.mapInArrow(trimmed(removed), "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary"))

@@ -46,20 +46,89 @@ def test_against_brute_force(docs, hot):
     assert got(s.remove_repeats(docs(rows), 40, hot)) == brute(rows, 40)
 
 
-def test_long_texts_come_in_segments(docs, monkeypatch):
-    monkeypatch.setattr(s, "SEGMENT", 64)
-    monkeypatch.setattr(s, "BUFFER", 128)
-    rows = cases()[:12] + [(300, cases()[2][1] * 4)]
-    # workers import the module afresh, so the segments are tried on the function itself
-    texts = [(t or "").encode() for _, t in rows]
+@pytest.mark.parametrize("digest_bytes", [1, 2])
+def test_wrong_digests_are_found_out(docs, digest_bytes):
+    rng = random.Random(8)
+    shared = "".join(rng.choice("abcdé ") for _ in range(60))
+    rows = cases() + [(1000 + i, "".join(rng.choice("abc") for _ in range(30)) + shared + "".join(rng.choice("abc") for _ in range(30))) for i in range(60)]
+    assert got(s.remove_repeats(docs(rows), 40, digest_bytes=digest_bytes)) == brute(rows, 40)
+
+
+def test_bytes_are_compared(spark):
+    docs = spark.createDataFrame([(1, 11, "x" * 3000 + "abcdef"), (2, 22, "x" * 3000 + "abcdeg"), (3, 33, "--" + "x" * 3000 + "abcdef")], "id long, th long, text string")
+    schema = "id long, th long, first int, last int, r_id long, r_th long, r_first int, r_last int"
+    own = (1, 11, 5, 2606, 1, 11, 5, 2606)
+
+    def wrong(*rows):
+        return s.differ(spark.createDataFrame([own, *rows], schema), docs, 400)
+
+    assert not wrong((3, 33, 7, 2608, 1, 11, 5, 2606))
+    assert not wrong((2, 22, 5, 2605, 1, 11, 5, 2605))
+    assert wrong((2, 22, 5, 2606, 1, 11, 5, 2606))
+    assert wrong((3, 33, 6, 2607, 1, 11, 5, 2606))
+    assert wrong((3, 33, 7, 2607, 1, 11, 5, 2606))
+    assert wrong((3, 33, 7, 2608, 2, 22, 5, 2606))
+
+
+#: 208 bytes that two different texts share; see below.
+PREFIX = "vqzwxqjymlfjqfzibyzrpnnrmpuefpitvxxzvulwzoekctakjmpedcnjtcpecuaboklxemkmkprreohxmnhmptlrnyocuwdymwvdxmmghjcsjxagpofakgrsbgirnkyypuiukkvgblwheouzfgwcjfulhugvrnsfigypvhwpwvkglrwfzljukawcsmvtejdnlcuvwbttehmknjnx"
+
+
+def test_texts_of_equal_polynomial_hashes_stay_whole(docs):
+    """Thue-Morse words defeat every hash by a polynomial modulo 2**64."""
+    x, y = "rxxnum", "kmduql"
+    for _ in range(5):
+        x, y = x + y, y + x
+    rows = [(1, PREFIX + x), (2, PREFIX + y), (3, "z" + PREFIX + y + "z")]
+    assert got(s.remove_repeats(docs(rows))) == brute(rows, 400)
+    assert [len(r[1].encode()) for r in rows[:2]] == [400, 400]
+
+
+def test_texts_longer_than_a_segment(docs):
+    rng = random.Random(4)
+    shared = "".join(rng.choice("abcdefgh é") for _ in range(5000))
+    text = rng.randbytes(3_300_000).hex()
+    size = s.SEGMENT
+    long = text[: size - 700] + shared[:1200] + text[size - 700 : size + 1_000_000] + shared + text[size + 1_000_000 :]
+    rows = [(1, long), (2, shared[300:900]), (3, long[-2000:] + "!"), (4, shared)]
+    assert len(long) > size + 2_000_000
+    found = got(s.remove_repeats(docs(rows)))
+    seen, twice = set(), set()
+    texts = {d: t.encode() for d, t in rows}
+    for b in texts.values():
+        for h in (hash(b[i : i + 400]) for i in range(len(b) - 399)):
+            (twice if h in seen else seen).add(h)
+    for d, n, spans, kept in found:
+        b, gone = texts[d], np.zeros(n, np.int64)
+        for i in range(n - 399):
+            if hash(b[i : i + 400]) in twice:
+                gone[i : i + 400] = 1
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
+        assert spans == list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+        assert kept == np.frombuffer(b, np.uint8)[gone == 0].tobytes()
+
+
+def test_anchors_share_out_all_windows():
+    texts = [(t or "").encode() for _, t in cases()]
     data = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum([len(t) for t in texts])
     starts = ends - np.array([len(t) for t in texts])
-    text, at, low, high, g, c = s.anchors(data, starts, ends, 40)
+    text, at, low, high, g = s.anchors(data, starts, ends, 40)
     assert (high >= low).all() and (at >= low).all() and (high + 40 <= ends[text]).all()
     assert sum(int(h - lo) + 1 for lo, h in zip(low, high)) == sum(max(len(t) - 39, 0) for t in texts)
 
 
+def test_the_query_against_brute_force(spark, sf_dir):
+    import hashlib
+
+    from larkspur.llm.queries import op2_suffix_dedup
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    wanted = sorted((d, n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest()) for d, n, spans, kept in brute(rows, 400))
+    assert sorted(map(tuple, op2_suffix_dedup(spark, sf_dir).collect())) == wanted
+    assert any(r[2] for r in wanted)
+
+
 def test_empty(docs):
     assert s.remove_repeats(docs([]), 40).count() == 0
 

@@ -3,13 +3,15 @@
 The root is the smoothed word distribution. A context of up to `depth` words is a candidate if it occurs at least `least`
 times in the training text, a fixed count, so the tree grows with the corpus; likewise a context's own distribution names
 the symbols that follow it at least that often and leaves the rest of its mass to its suffix. A candidate becomes a state
-if its distribution diverges from its suffix's: the gain in log-likelihood, its count times the divergence, must pass a
+if its distribution diverges from its suffix's: its count times the divergence must pass a
 multiple of the logarithm of the corpus size. A token is scored in the state of the longest suffix of its past that is one.
 
 All counts are taken over all training documents, and no task holds the tree. Depth by depth each block sends its distinct
 contexts with their followers to the parts that contexts are dealt to by hash; a part sees all of a context, decides
 whether it is a state, and answers every block with what concerns its own entries. So a block holds the tree restricted to
-its text. Contexts of two and more words are known by 64-bit hashes there, whose equality stands for that of the words.
+its text. The number of parts grows with that of the blocks. The followers of a context that occurs more than `split` times are dealt to
+several parts, each of which answers with its share of the sums that decide; the block adds them up. Contexts are known by
+64-bit hashes there, whose equality stands for that of the words.
 """
 
 from __future__ import annotations
@@ -30,23 +32,30 @@ from larkspur.llm.common import trimmed, written, written_by
 #: Separates nothing and is no word: the token that ends every text, and the past of its first word.
 END = b""
 
+#: A word's number in the corpus is its part's number above so many bits, and its place in the part.
+PLACE = 40
 
-@dataclass
-class Level:
-    """Entries of one depth: code = context * symbols + symbol, sorted, with counts; contexts with states' masses."""
-
-    codes: np.ndarray
-    counts: np.ndarray
-    state: np.ndarray
-    total: np.ndarray
-    mass: np.ndarray
 
+@dataclass(frozen=True)
+class Rule:
+    """What makes an entry and a state."""
 
-@dataclass
-class Tree:
-    symbols: int
+    least: int
     discount: float
-    levels: list[Level]
+    strictness: float
+    tokens: int
+
+    def states(self, gain: np.ndarray, covered: np.ndarray, likely: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Which contexts are states, from sums over their entries: see shares(). Contexts without entries are none."""
+        rest = total - covered
+        gain = gain - covered * np.log(np.maximum(total, 1))
+        gain += np.where(rest > 0, rest * np.log(np.maximum(rest, 1) / (np.maximum(total, 1) * np.maximum(1 - likely, 1e-12))), 0.0)
+        return (gain > self.strictness * np.log(max(self.tokens, 2))) & (covered > 0)
+
+    def shares(self, owner: np.ndarray, counts: np.ndarray, shorter: np.ndarray, contexts: int) -> tuple[np.ndarray, ...]:
+        """Sums over entries by context: count * log(count / shorter), counts, probabilities in the suffix, discounted counts."""
+        columns = (counts * np.log(counts / shorter), counts, shorter, counts - self.discount)
+        return tuple(np.bincount(owner, c, contexts).astype(float) for c in columns)
 
 
 def splitter():
@@ -57,67 +66,6 @@ def splitter():
     return split
 
 
-def find(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Index of each wanted code in the sorted codes, -1 where it is none or negative."""
-    if not len(codes):
-        return np.full(len(wanted), -1, np.int64)
-    some, back = np.unique(wanted, return_inverse=True)
-    at = np.minimum(np.searchsorted(codes, some), len(codes) - 1)
-    return np.where((codes[at] == some) & (some >= 0), at, -1)[back]
-
-
-def pasts(symbol: np.ndarray, first: np.ndarray, end: int, tree: Tree, depth: int) -> Iterator[np.ndarray]:
-    """For each depth up to `depth`, the context of every token as a number, -1 if it is no candidate.
-
-    symbol: number of each token's word among the frequent ones, -1 for the rest. Contexts don't cross texts; the past
-    of a text's first token is the end token.
-    """
-    context = np.concatenate([[end], symbol[:-1]]) if len(symbol) else symbol
-    context = np.where(first, end, context)
-    yield context
-    for d in range(depth - 1):
-        entry = find(tree.levels[d].codes, np.where((context >= 0) & (symbol >= 0), context * tree.symbols + symbol, -1))
-        context = np.where(first, -1, np.concatenate([[-1], entry[:-1]]))
-        yield context
-
-
-def in_state(tree: Tree, level: Level, p: np.ndarray, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """Probabilities one depth deeper: p is kept where the context is no state."""
-    on = np.flatnonzero(context >= 0)
-    on = on[level.state[context[on]]]
-    if not len(on):
-        return p
-    c = context[on]
-    entry = find(level.codes, np.where(symbol[on] >= 0, c * tree.symbols + symbol[on], -1))
-    own = np.where(entry >= 0, level.counts[entry] - tree.discount, 0.0)
-    p = p.copy()
-    p[on] = (own + level.mass[c] * p[on]) / level.total[c]
-    return p
-
-
-def score_tokens(p: np.ndarray, symbol: np.ndarray, first: np.ndarray, end: int, tree: Tree) -> np.ndarray:
-    """Probability of each token in the state of its longest suffix that is one, from its root probability p."""
-    for level, context in zip(tree.levels, pasts(symbol, first, end, tree, len(tree.levels))):
-        p = in_state(tree, level, p, context, symbol)
-    return p
-
-
-def grow(tree: Tree, codes: np.ndarray, counts: np.ndarray, contexts: np.ndarray, shorter: np.ndarray, strictness: float, tokens: int) -> None:
-    """Adds a depth from its entries, and decides which contexts are states.
-
-    contexts: count of each context; shorter: each entry's probability in the suffix state of its context.
-    """
-    owner, n = codes // tree.symbols, len(contexts)
-    total = np.maximum(contexts, 1).astype(float)
-    mass = total - np.bincount(owner, counts - tree.discount, n)
-    own = (counts - tree.discount + mass[owner] * shorter) / total[owner]
-    rest = total - np.bincount(owner, counts, n)
-    gain = np.bincount(owner, counts * np.log(own / shorter), n).astype(float)
-    gain += np.where(rest > 0, rest * np.log(np.maximum(mass, 1e-300) / total), 0.0)
-    state = (gain > strictness * np.log(max(tokens, 2))) & (np.bincount(owner, minlength=n) > 0)
-    tree.levels.append(Level(codes, counts.astype(float), state, total, mass))
-
-
 def mixed(key: np.ndarray, word: np.ndarray) -> np.ndarray:
     """64-bit hash of a context's hash and the word that follows it (both uint64)."""
     x = key * np.uint64(0x9E3779B97F4A7C15) + word + np.uint64(1)
@@ -139,96 +87,143 @@ def loose(data: bytes, kind) -> np.ndarray:
 
 @dataclass
 class Block:
-    """A block's tokens under its own word numbers: symbol is -1 for rare words, word has each number's one in the corpus."""
+    """A block's tokens under its own word numbers, and the tree restricted to them as deep as it has grown.
+
+    symbol is -1 for rare words; word has each number's one in the corpus. context is the number of each token's past of
+    the depth that comes next, -1 if it is no candidate; key and total are those contexts' hashes and training counts. p
+    is each token's probability in the longest state so far.
+    """
 
     symbol: np.ndarray
     first: np.ndarray
     train: np.ndarray
-    end: int
     word: np.ndarray
     p: np.ndarray
+    context: np.ndarray
+    key: np.ndarray
+    total: np.ndarray
+
+
+def planted(symbol: np.ndarray, first: np.ndarray, train: np.ndarray, word: np.ndarray, total: np.ndarray, end: int, p: np.ndarray) -> Block:
+    """A block with the root alone: the past of a text's first token is the end token, contexts don't cross texts."""
+    context = np.where(first, end, np.concatenate([[end], symbol[:-1]])) if len(symbol) else symbol
+    return Block(symbol, first, train, word, p, context, mixed(word, np.zeros(len(word), np.uint64)), total)
 
 
 @dataclass
 class Question:
-    """A block's distinct (context, symbol + 1) of one depth by part and context, with counts and where one occurs."""
+    """A block's distinct (context, symbol) of one depth, and what goes to which part.
 
-    part: np.ndarray
+    on: tokens with a context; code: the number of each one's pair; context, symbol (-1 for rare), n and token by pair.
+    part, asked, key: contexts and hashes by part, one row for each split of a context; row: the row of each pair, -1 for rare symbols.
+    """
+
+    on: np.ndarray
+    code: np.ndarray
     context: np.ndarray
     symbol: np.ndarray
     n: np.ndarray
     token: np.ndarray
-    #: Where each distinct context begins.
-    starts: np.ndarray
-
-
-def question(block: Block, tree: Tree, keys: np.ndarray, parts: int) -> Question:
-    *_, context = pasts(block.symbol, block.first, block.end, tree, len(tree.levels) + 1)
-    on = np.flatnonzero(context >= 0)
-    wide = tree.symbols + 1
-    codes, token, back = np.unique(context[on] * wide + block.symbol[on] + 1, return_index=True, return_inverse=True)
-    n = np.bincount(back, block.train[on], len(codes)).astype(np.int64)
-    context = codes // wide
-    part = (mixed(keys[context], np.zeros(len(codes), np.uint64)) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    part, context = part[order], context[order]
-    starts = np.flatnonzero(np.diff(context, prepend=-1) != 0)
-    return Question(part, context, codes[order] % wide, n[order], on[token[order]], starts)
-
-
-def next_keys(tree: Tree, keys: np.ndarray, word: np.ndarray) -> np.ndarray:
-    codes = tree.levels[-1].codes
-    return mixed(keys[codes // tree.symbols], word[codes % tree.symbols])
-
+    part: np.ndarray
+    asked: np.ndarray
+    key: np.ndarray
+    split: np.ndarray
+    row: np.ndarray
 
-def judged(context: np.ndarray, symbol: np.ndarray, n: np.ndarray, shorter: np.ndarray, discount: float, strictness: float, tokens: int, least: int):
-    """All rows of some contexts, from any number of blocks: each row's entry count, 0 if no entry, and its context's state, total and mass.
 
-    symbol is 0 for rare words, which have no entries.
-    """
-    order = np.lexsort((symbol, context))
-    context, symbol = context[order], symbol[order]
-    new_context = np.diff(context, prepend=context[:1]) != 0
-    new = new_context | (np.diff(symbol, prepend=symbol[:1]) != 0)
-    new_context[:1] = new[:1] = True
-    at, number = np.flatnonzero(new), np.cumsum(new_context) - 1
-    counts = np.add.reduceat(n[order], at)
-    total = np.bincount(number[at], counts).astype(np.int64)
-    entry = (counts >= least) & (symbol[at] > 0)
-    wide = int(symbol.max()) + 1
-    tree = Tree(wide, discount, [])
-    grow(tree, number[at][entry] * wide + symbol[at][entry], counts[entry], total, shorter[order][at][entry].astype(float), strictness, tokens)
-    level = tree.levels[0]
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    own = np.where(entry, counts, 0)[np.cumsum(new) - 1]
-    return own[back], level.state[number][back], total[number][back], level.mass[number][back]
-
-
-def deepen(tree: Tree, asked: Question, contexts: int, replies: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> None:
-    """Adds a depth to a block's tree from the replies to its question: part, entry counts; state, total, mass by context."""
-    counts, state, total, mass = np.zeros(len(asked.part), np.int64), np.zeros(contexts, bool), np.ones(contexts), np.zeros(contexts)
-    distinct, part = asked.context[asked.starts], asked.part[asked.starts]
-    for k, *reply in replies:
-        counts[np.searchsorted(asked.part, k) : np.searchsorted(asked.part, k, "right")] = reply[0]
-        own = distinct[np.searchsorted(part, k) : np.searchsorted(part, k, "right")]
-        state[own], total[own], mass[own] = reply[1:]
-    codes = asked.context * tree.symbols + asked.symbol - 1
-    codes, counts = codes[counts > 0], counts[counts > 0]
+def question(block: Block, parts: int, split: int) -> Question:
+    on = np.flatnonzero(block.context >= 0)
+    wide = len(block.word) + 1
+    codes = block.context[on] * wide + block.symbol[on] + 1
     order = np.argsort(codes)
-    tree.levels.append(Level(codes[order], counts[order].astype(float), state, np.maximum(total, 1), mass))
-
-
-def _row(*values) -> pa.RecordBatch:
-    types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-    part, block, nos, c, symbol, *rest = values
-    cells = (part, block, nos, *(None if x is None else packed(x) for x in (c, symbol)), *rest)
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(cells, types)], names=["part", "block", "nos", "c", "symbol", "frequent", "end_at", "known"])
-
-
-TOTALS = "part int, block long, nos binary, c binary, symbol binary, frequent long, end_at long, known long"
-QUESTIONS = "part int, block long, keys binary, runs binary, symbol binary, n binary, shorter binary"
-REPLIES = "part int, block long, counts binary, state binary, total binary, mass binary"
+    codes = codes[order]
+    new = np.diff(codes, prepend=-1) != 0
+    code = np.empty(len(on), np.int64)
+    code[order] = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    n = np.add.reduceat(block.train[on[order]].astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
+    context, symbol, token = codes[starts] // wide, codes[starts] % wide - 1, on[order[starts]]
+    # a context's pairs are neighbours; it asks each of its splits, most contexts have one
+    mine = np.flatnonzero(np.diff(context, prepend=-1))
+    splits = 1 + block.total[context[mine]] // split
+    asked = np.repeat(context[mine], splits)
+    begin = np.cumsum(splits) - splits
+    number = np.arange(len(asked)) - np.repeat(begin, splits)
+    key = mixed(block.key[asked], number.astype(np.uint64))
+    part = (key % np.uint64(parts)).astype(np.int64)
+    by_part = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
+    place = np.empty(len(asked), np.int64)
+    place[by_part] = np.arange(len(asked))
+    of = np.cumsum(np.diff(context, prepend=-1) != 0) - 1
+    chosen = (mixed(block.word[symbol], np.full(1, 7, np.uint64)) % splits[of].astype(np.uint64)).astype(np.int64) if len(block.word) else symbol
+    row = np.where(symbol >= 0, place[begin[of] + chosen], -1) if len(symbol) else symbol
+    return Question(on, code, context, symbol, n, token, part[by_part], asked[by_part], key[by_part], np.repeat(splits, splits)[by_part], row)
+
+
+def sent(block: Block, q: Question) -> Iterator[tuple]:
+    """For each part: keys, totals and splits of the rows, how many pairs each has; word, n and shorter of the pairs."""
+    pairs = np.flatnonzero(q.row >= 0)
+    pairs = pairs[np.argsort(q.row[pairs], kind="stable")]
+    runs = np.bincount(q.row[pairs], minlength=len(q.asked))
+    ends = np.concatenate([[0], np.cumsum(runs)])
+    for k in np.unique(q.part).tolist():
+        a, b = np.searchsorted(q.part, k), np.searchsorted(q.part, k, "right")
+        own, some = q.asked[a:b], pairs[ends[a] : ends[b]]
+        yield k, q.key[a:b].astype("<u8"), block.total[own].astype("<i8"), q.split[a:b].astype("<i4"), runs[a:b].astype("<i4"), block.word[q.symbol[some]].astype("<u8"), q.n[some].astype("<i4"), block.p[q.token[some]].astype("<f4")
+
+
+def judged(key: np.ndarray, total: np.ndarray, splits: np.ndarray, runs: np.ndarray, word: np.ndarray, n: np.ndarray, shorter: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The answers to all rows and pairs of a part, from any number of blocks, in their order.
+
+    Each pair's count in the corpus, 0 if it is no entry; each row's verdict: 0 for no state, 1 for a state, 2 for a split
+    context, whose sums have to be added up; four sums for each row, zeros but for splits and the last one of states.
+    """
+    names, at = np.unique(key, return_inverse=True)
+    pair = mixed(np.repeat(key, runs), word)
+    order = np.argsort(pair)
+    new = np.diff(pair[order], prepend=~pair[order[:1]]) != 0
+    starts = np.flatnonzero(new)
+    counts = np.add.reduceat(n[order].astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
+    entry = counts >= rule.least
+    one = order[starts][entry]
+    sums = np.stack(rule.shares(np.repeat(at, runs)[one], counts[entry].astype(float), shorter[one].astype(float), len(names)), axis=1)
+    totals, several = np.zeros(len(names)), np.zeros(len(names), bool)
+    totals[at], several[at] = total, splits > 1
+    state = rule.states(*sums[:, :3].T, totals)
+    verdict = np.where(several, 2, state).astype(np.uint8)
+    sums[verdict == 0] = 0
+    sums[verdict == 1, :3] = 0
+    own = np.empty(len(order), np.int64)
+    own[order] = np.where(entry, counts, 0)[np.cumsum(new) - 1]
+    return own, verdict[at], sums[at]
+
+
+def deepened(block: Block, q: Question, replies: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], rule: Rule) -> None:
+    """Scores a block's tokens one depth deeper, and gives it the contexts of the next one."""
+    counts, state, kept = np.zeros(len(q.row), np.int64), np.zeros(len(block.key), bool), np.zeros(len(block.key))
+    pairs = np.flatnonzero(q.row >= 0)
+    pairs = pairs[np.argsort(q.row[pairs], kind="stable")]
+    own, verdict, sums = (np.concatenate([np.zeros((0, *shape)), *(replies[k][i] for k in sorted(replies))]) for i, shape in enumerate(((), (), (4,))))
+    counts[pairs] = own
+    state[q.asked[verdict == 1]] = True
+    np.add.at(kept, q.asked[verdict == 1], sums[verdict == 1, 3])
+    parted = verdict == 2
+    if parted.any():
+        added = np.zeros((len(block.key), 4))
+        np.add.at(added, q.asked[parted], sums[parted])
+        some = np.unique(q.asked[parted])
+        state[some] = rule.states(*added[some, :3].T, block.total[some].astype(float))
+        kept[some] = added[some, 3]
+    c, n = block.context[q.on], counts[q.code]
+    inside = state[c]
+    t, c, n = q.on[inside], c[inside], n[inside]
+    block.p[t] = (np.where(n > 0, n - rule.discount, 0.0) + (block.total[c] - kept[c]) * block.p[t]) / block.total[c]
+    entry = counts > 0
+    number = np.where(entry, np.cumsum(entry) - 1, -1)
+    after = np.full(len(block.symbol), -1, np.int64)
+    after[q.on] = number[q.code]
+    block.context = np.where(block.first, -1, np.concatenate([[-1], after[:-1]])) if len(after) else after
+    block.key, block.total = mixed(block.key[q.context[entry]], block.word[q.symbol[entry]]), counts[entry]
 
 
 def _batch(values: tuple, schema: str) -> pa.RecordBatch:
@@ -237,119 +232,105 @@ def _batch(values: tuple, schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], types[t]) for v, (_, t) in zip(values, fields)], names=[name for name, _ in fields])
 
 
-def lm_score(docs: DataFrame, train, depth: int = 3, least: int = 2, discount: float = 0.75, strictness: float = 2.0) -> DataFrame:
+TOTALS = "part int, block long, nos binary, c binary, symbol binary, end_at long, known long"
+QUESTIONS = "part int, block long, keys binary, totals binary, splits binary, runs binary, words binary, n binary, shorter binary"
+REPLIES = "part int, block long, counts binary, verdicts binary, sums binary"
+
+
+def lm_score(docs: DataFrame, train, depth: int = 3, least: int = 2, discount: float = 0.75, strictness: float = 2.0, split: int = 1 << 23) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score (log10, of the whole text).
 
     train: a boolean column over docs that marks the training documents; null counts as false. Tokens are the words of
-    the text after lower-casing A-Z and one end token; a null text is one end token. Without training documents every
-    token has the root probability 1. Rows that repeat a doc_id count and are scored one by one; other columns are
-    ignored. least: occurrences of a context and of each of its entries, whatever the corpus. Only a row for each part
-    goes to the driver.
+    the text after lower-casing A-Z and one end token; a null or empty text is one end token, a text of any length is one
+    sequence. Without training documents every token has the root probability 1; an empty table gives an empty result.
+    Rows that repeat a doc_id count and are scored one by one; other columns are ignored. least: occurrences of a context
+    and of each of its entries, whatever the corpus. split: occurrences of a context that one part looks at. Only three
+    sums go to the driver.
     """
     spark = docs.sparkSession
     blocks = to_blocks(docs.select("doc_id", "text", train.alias("mark")), splitter, "lm")
-    tokens = int(blocks.agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0)
+    found = blocks.agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)), F.count("*")).first()
+    tokens, n_blocks = int(found[0] or 0), found[1]
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """How many words the part has, and how many frequent ones; then each block's totals and symbols."""
-        held, total = [], defaultdict(int)
+        """How many words the part has; then each block's totals and symbols."""
+        held, total = defaultdict(list), defaultdict(int)
         for part, block, nos, words, counts in opened(batches):
-            held.append((part, block, nos, words))
+            held[part].append((block, nos, words))
             for w, n in zip(words, counts.tolist()):
                 total[w] += n
-        by_part = defaultdict(list)
-        for p, block, nos, words in held:
-            by_part[p].append((block, nos, words))
-        for p, rows in by_part.items():
+        for part, rows in held.items():
             own = dict.fromkeys(w for _, _, words in rows for w in words)
-            number = {w: i for i, w in enumerate(w for w in sorted(own) if total[w] >= least or w == END)}
-            yield _row(p, None, None, None, None, len(number), number.get(END, -1), sum(total[w] > 0 for w in own))
+            number = {w: i for i, w in enumerate(w for w in own if total[w] >= least or w == END)}
+            yield _batch((part, None, None, None, None, number.get(END), sum(total[w] > 0 for w in own)), TOTALS)
             for block, nos, words in rows:
                 c = np.fromiter(map(total.__getitem__, words), np.int64, len(words))
                 symbol = np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
-                yield _row(p, block, nos, c, symbol + 1, None, None, None)
+                yield _batch((part, block, nos, packed(c), packed(symbol + 1), None, None), TOTALS)
 
-    parts_ = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts_ = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks // 2)
     counted = written(dealt(blocks, parts_).mapInArrow(trimmed(totals), TOTALS), "counted")
-    named = counted.where("block is null").select("part", "frequent", "end_at", "known").orderBy("part").collect()
-    known = sum(r["known"] for r in named)
-    offsets, symbols, end = {}, 0, 0
-    for r in named:
-        offsets[r["part"]] = symbols
-        if r["end_at"] >= 0:
-            end = symbols + r["end_at"]
-        symbols += r["frequent"]
+    place = F.shiftleft(F.col("part").cast("long"), PLACE) + F.col("end_at")
+    known, end = counted.where("block is null").agg(F.sum("known"), F.max(place)).first()
+    known, end = known or 0, end or 0
     found = counted.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("part", "nos", "c", "symbol")).alias("found"))
     rows = blocks.select("block", "doc_ids", "marks", "sizes", "at").join(written_by(found, "lm_words", "block").hint("merge"), "block").select("block", "doc_ids", "marks", "sizes", "at", "found")
     base = np.log10(tokens + 0.5 * (known + 1))
+    rule = Rule(least, discount, strictness, tokens)
 
     def opened_blocks(batches: Iterator[pa.RecordBatch], depths: int):
-        """Each block's number, documents and tokens, its tree of so many depths and the hashes of the next one's contexts."""
+        """Each block's number, documents and tokens, and the block with its tree of so many depths."""
         for batch in batches:
             for i in range(batch.num_rows):
                 sizes = np.asarray(batch[3][i].values, np.int64)
                 starts, at = by_document(sizes), unpacked(batch[4][i].as_py())
-                found = [(offsets[x["part"]], *(unpacked(x[k]) for k in ("nos", "c", "symbol"))) for x in batch[5][i].as_py()]
+                found = [(x["part"], *(unpacked(x[k]) for k in ("nos", "c", "symbol"))) for x in batch[5][i].as_py()]
                 c = np.zeros(sum(len(x[1]) for x in found), np.int64)
                 word = np.full(len(c), -1, np.int64)
-                for offset, nos, n, s in found:
+                for part, nos, n, s in found:
                     c[nos] = n
-                    word[nos[s > 0]] = s[s > 0] - 1 + offset
-                number = np.where(word >= 0, np.arange(len(word)), -1)
+                    word[nos[s > 0]] = s[s > 0] - 1 + (part << PLACE)
                 first = np.zeros(len(at), bool)
                 first[starts[:-1]] = True
                 marks = batch[2][i].values.to_numpy(zero_copy_only=False).astype(bool)
-                block = Block(number[at], first, np.repeat(marks, sizes), int(np.flatnonzero(word == end)[0]), word.astype(np.uint64), 10.0 ** (np.log10(c[at] + 0.5) - base))
-                tree, keys = Tree(len(word), discount, []), word.astype(np.uint64)
+                symbol = np.where(word >= 0, np.arange(len(word)), -1)[at]
+                block = planted(symbol, first, np.repeat(marks, sizes), word.view(np.uint64), c, int(np.flatnonzero(word == end)[0]), 10.0 ** (np.log10(c[at] + 0.5) - base))
                 for d in range(depths):
-                    asked = question(block, tree, keys, parts_)
-                    replies = [(x["part"], *(loose(x[k], t) for k, t in (("counts", "<i8"), ("state", "?"), ("total", "<i8"), ("mass", "<f8")))) for x in batch[6 + d][i].as_py() or []]
-                    deepen(tree, asked, len(keys), replies)
-                    keys = next_keys(tree, keys, block.word)
-                yield batch[0][i].as_py(), batch[1][i].values, sizes, starts, c[at], block, tree, keys
+                    replies = {x["part"]: (loose(x["counts"], "<i8"), loose(x["verdicts"], "u1"), loose(x["sums"], "<f8").reshape(-1, 4)) for x in batch[6 + d][i].as_py() or []}
+                    deepened(block, question(block, parts_, split), replies, rule)
+                yield batch[0][i].as_py(), batch[1][i].values, sizes, starts, c[at], block
 
     for d in range(depth):
 
         def ask(batches: Iterator[pa.RecordBatch], d=d) -> Iterator[pa.RecordBatch]:
-            for number, *_, block, tree, keys in opened_blocks(batches, d):
-                q = question(block, tree, keys, parts_)
-                p = score_tokens(block.p, block.symbol, block.first, block.end, tree)
-                word = np.where(q.symbol > 0, block.word[q.symbol - 1].astype(np.int64) + 1, 0)
-                runs = np.diff(q.starts, append=len(q.part))
-                for k in np.unique(q.part).tolist():
-                    a, b = np.searchsorted(q.part, k), np.searchsorted(q.part, k, "right")
-                    u, v = np.searchsorted(q.starts, (a, b))
-                    shorter = np.where(q.symbol[a:b] > 0, p[q.token[a:b]], 0).astype("<f4")
-                    values = (keys[q.context[q.starts[u:v]]].astype("<u8"), runs[u:v].astype("<i8"), word[a:b].astype("<i8"), q.n[a:b].astype("<i8"), shorter)
-                    yield _batch((k, number, *map(pressed, values)), QUESTIONS)
+            for number, *_, block in opened_blocks(batches, d):
+                for part, *values in sent(block, question(block, parts_, split)):
+                    yield _batch((part, number, *map(pressed, values)), QUESTIONS)
 
         def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = defaultdict(list)
+            kinds = ("<u8", "<i8", "<i4", "<i4", "<u8", "<i4", "<f4")
             for batch in batches:
-                for part, number, keys, *values in zip(*(c.to_pylist() for c in batch.columns)):
-                    keys, (runs, word, n, shorter) = loose(keys, "<u8"), (loose(x, t) for x, t in zip(values, ("<i8", "<i8", "<i8", "<f4")))
-                    held[part].append((number, runs, np.repeat(keys, runs), word, n, shorter))
+                for part, number, *values in zip(*(c.to_pylist() for c in batch.columns)):
+                    held[part].append((number, values))
             for part in list(held):
-                asked = held.pop(part)
-                all_ = judged(*(np.concatenate([x[k] for x in asked]) for k in (2, 3, 4, 5)), discount, strictness, tokens, least)
-                at = 0
-                for number, runs, *_ in asked:
-                    here, size = at + np.cumsum(runs) - runs, int(runs.sum())
-                    counts, state, total, mass = all_[0][at : at + size], *(x[here] for x in all_[1:])
-                    # totals and masses of contexts that are no states are not looked at
-                    yield _batch((part, number, *map(pressed, (counts.astype("<i8"), state, np.where(state, total, 0).astype("<i8"), np.where(state, mass, 0.0).astype("<f8")))), REPLIES)
-                    at += size
+                asked = [(number, [loose(x, t) for x, t in zip(values, kinds)]) for number, values in held.pop(part)]
+                own, verdict, sums = judged(*(np.concatenate([v[k] for _, v in asked]) for k in range(7)), rule)
+                a = b = 0
+                for number, values in asked:
+                    m, k = len(values[0]), len(values[4])
+                    yield _batch((part, number, pressed(own[b : b + k].astype("<i8")), pressed(verdict[a : a + m]), pressed(sums[a : a + m].ravel().astype("<f8"))), REPLIES)
+                    a, b = a + m, b + k
 
         asked = rows.mapInArrow(trimmed(ask), QUESTIONS).repartition(parts_, "part")
-        replies = asked.mapInArrow(trimmed(judge), REPLIES).groupBy("block").agg(F.collect_list(F.struct("part", "counts", "state", "total", "mass")).alias(f"replies{d}"))
+        replies = asked.mapInArrow(trimmed(judge), REPLIES).groupBy("block").agg(F.collect_list(F.struct("part", "counts", "verdicts", "sums")).alias(f"replies{d}"))
         rows = rows.join(written_by(replies, f"lm_replies{d}", "block").hint("merge"), "block", "left")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, sizes, starts, c, block, tree, _ in opened_blocks(batches, depth):
+        for _, ids, sizes, starts, c, block in opened_blocks(batches, depth):
             p0 = np.log10(c + 0.5) - base
-            p = score_tokens(block.p, block.symbol, block.first, block.end, tree)
             at = starts[:-1]
-            columns = [ids, pa.array(sizes, pa.int64()), pa.array(np.add.reduceat((c > 0).astype(np.int64), at), pa.int64()), pa.array(np.add.reduceat(p0, at)), pa.array(np.add.reduceat(np.log10(p), at))]
+            columns = [ids, pa.array(sizes, pa.int64()), pa.array(np.add.reduceat((c > 0).astype(np.int64), at), pa.int64()), pa.array(np.add.reduceat(p0, at)), pa.array(np.add.reduceat(np.log10(block.p), at))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     out = rows.mapInArrow(trimmed(scored), "doc_id long, n_tokens long, n_known long, base_score double, score double")

@@ -3,6 +3,7 @@ import math
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from larkspur.llm import suffix_tree_lm as lm
@@ -30,31 +31,78 @@ def test_context_beats_base_on_held_out_text(docs):
     assert got[1000].score > got[1000].base_score + 3
 
 
-def test_distribution_of_every_state_sums_to_one():
-    """Over all known words and one unknown, whatever the past."""
-    rng = np.random.default_rng(0)
-    text = [int(x) for x in rng.integers(0, 6, 400)]
-    for i in range(0, 396, 4):
-        text[i + 1] = (text[i] + 1) % 6
-    counts = np.bincount(text, minlength=6)
-    n, v = len(text), 6
-    root = (counts + 0.5) / (n + 0.5 * (v + 1))
-    tree = lm.Tree(6, 0.75, [])
-    pairs = collections.Counter((a * 6 + b) for a, b in zip(text, text[1:]))
-    codes = np.array(sorted(k for k, x in pairs.items() if x >= 2))
-    lm.grow(tree, codes, np.array([pairs[k] for k in codes]), np.bincount(text[:-1], minlength=6), root[codes % 6], 0.5, n)
-    assert tree.levels[0].state.any()
-    unknown = 0.5 / (n + 0.5 * (v + 1))
-    for past in range(6):
-        p = lm.in_state(tree, tree.levels[0], np.append(root, unknown), np.full(7, past), np.append(np.arange(6), -1))
-        assert abs(p.sum() - 1) < 1e-9
-
-
-def test_pasts_stop_at_texts():
-    tree = lm.Tree(3, 0.75, [lm.Level(np.array([0 * 3 + 1, 2 * 3 + 0]), np.ones(2), np.ones(3, bool), np.ones(3), np.ones(3))])
-    symbol, first = np.array([0, 1, 2, 0, 1]), np.array([True, False, False, True, False])
-    one, two = lm.pasts(symbol, first, 2, tree, 2)
-    assert one.tolist() == [2, 0, 1, 2, 0] and two.tolist() == [-1, 1, 0, -1, 1]
+def brute(rows, train, depth=3, least=2, discount=0.75, strictness=2.0):
+    """log10 probability of each text, word by word, with the tree as dictionaries of pasts; and sums of distributions."""
+    texts = [words(t) for _, t in rows]
+    learnt = [w for w, (d, _) in zip(texts, rows) if train(d)]
+    c = collections.Counter(x for w in learnt for x in w)
+    n, v = sum(c.values()), len(c)
+    known = {x for x in c if c[x] >= least} | {b""}
+    follow = collections.defaultdict(collections.Counter)
+    for w in learnt:
+        past = [b"", *w]
+        for i in range(len(w)):
+            for k in range(1, depth + 1):
+                if i - k + 1 >= 0:
+                    follow[tuple(past[i - k + 1 : i + 1])][w[i]] += 1
+
+    def candidate(past):
+        if len(past) == 1:
+            return past[0] in known
+        return candidate(past[:-1]) and past[-1] in known and follow[past[:-1]][past[-1]] >= least
+
+    states = {}
+
+    def probability(past, x):
+        """In the longest state that is a suffix of past."""
+        if not past:
+            return (c[x] + 0.5) / (n + 0.5 * (v + 1))
+        shorter = probability(past[1:], x)
+        if not candidate(past) or not state(past):
+            return shorter
+        total, entries = states[past]
+        mass = total - sum(k - discount for k in entries.values())
+        return ((entries[x] - discount if x in entries else 0.0) + mass * shorter) / total
+
+    def state(past):
+        if past not in states:
+            total = sum(follow[past].values())
+            entries = {x: k for x, k in follow[past].items() if k >= least and x in known}
+            states[past] = None
+            if entries:
+                likely = {x: np.float32(probability(past[1:], x)).item() for x in entries}
+                gain = sum(k * math.log(k / total / likely[x]) for x, k in entries.items())
+                rest = total - sum(entries.values())
+                if rest:
+                    gain += rest * math.log(rest / total / max(1 - sum(likely.values()), 1e-12))
+                if gain > strictness * math.log(max(n, 2)):
+                    states[past] = (total, entries)
+        return states[past]
+
+    out = []
+    for w in texts:
+        past = [b"", *w]
+        out.append(sum(math.log10(probability(tuple(past[max(0, i - depth + 1) : i + 1]), w[i])) for i in range(len(w))))
+    unheard = {p[-depth:] for p in list(follow)[:50]}
+    return out, [sum(probability(past, x) for x in [*c, None]) for past in unheard]
+
+
+def corpus():
+    rng = np.random.default_rng(5)
+    lines = ["the cat sat on the mat and the dog sat on the log", "A cat and a dog met the Cat", "on the mat the cat met a dog"]
+    rows = [(i, " ".join(lines[k] for k in rng.integers(0, 3, 4)) + f" only{i}") for i in range(60)]
+    return rows + [(100, None), (101, ""), (102, "unheard words the cat sat"), (103, "the " * 300), (None, lines[0]), (5, lines[1])]
+
+
+@pytest.mark.parametrize("split", [1 << 23, 20])
+def test_scores_against_brute_force(docs, split):
+    """Also where the followers of most contexts are dealt to several parts."""
+    rows = corpus()
+    got = lm.lm_score(docs(rows), F.coalesce(F.col("doc_id") % 4 != 1, F.lit(True)), strictness=0.5, split=split).collect()
+    wanted, sums = brute(rows, lambda d: d is None or d % 4 != 1, strictness=0.5)
+    assert max(abs(x - 1) for x in sums) < 1e-9
+    assert sorted((str(d), round(x, 5)) for (d, _), x in zip(rows, wanted)) == sorted((str(r.doc_id), round(r.score, 5)) for r in got)
+    assert sum(r.score > r.base_score + 3 for r in got) > 50
 
 
 def test_nothing_to_learn_from(docs):

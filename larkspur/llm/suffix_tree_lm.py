@@ -32,9 +32,6 @@ from larkspur.llm.common import trimmed, written, written_by
 #: Separates nothing and is no word: the token that ends every text, and the past of its first word.
 END = b""
 
-#: A word's number in the corpus is its part's number above so many bits, and its place in the part.
-PLACE = 40
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -85,6 +82,11 @@ def loose(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def coarse(p: np.ndarray) -> np.ndarray:
+    """Probabilities as floats of 12 bits, enough to tell how far distributions diverge."""
+    return ((p.astype("<f4").view("<u4") + np.uint32(0x800)) & np.uint32(0xFFFFF000)).view("<f4")
+
+
 @dataclass
 class Block:
     """A block's tokens under its own word numbers, and the tree restricted to them as deep as it has grown.
@@ -169,7 +171,7 @@ def sent(block: Block, q: Question) -> Iterator[tuple]:
     for k in np.unique(q.part).tolist():
         a, b = np.searchsorted(q.part, k), np.searchsorted(q.part, k, "right")
         own, some = q.asked[a:b], pairs[ends[a] : ends[b]]
-        yield k, q.key[a:b].astype("<u8"), block.total[own].astype("<i8"), q.split[a:b].astype("<i4"), runs[a:b].astype("<i4"), block.word[q.symbol[some]].astype("<u8"), q.n[some].astype("<i4"), block.p[q.token[some]].astype("<f4")
+        yield k, q.key[a:b].astype("<u8"), block.total[own].astype("<i8"), q.split[a:b].astype("<i4"), runs[a:b].astype("<i4"), block.word[q.symbol[some]].astype("<u8"), q.n[some].astype("<i4"), coarse(block.p[q.token[some]])
 
 
 def judged(key: np.ndarray, total: np.ndarray, splits: np.ndarray, runs: np.ndarray, word: np.ndarray, n: np.ndarray, shorter: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,7 +234,7 @@ def _batch(values: tuple, schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], types[t]) for v, (_, t) in zip(values, fields)], names=[name for name, _ in fields])
 
 
-TOTALS = "part int, block long, nos binary, c binary, symbol binary, end_at long, known long"
+TOTALS = "part int, block long, nos binary, c binary, symbol binary, frequent long, end_at long, known long"
 QUESTIONS = "part int, block long, keys binary, totals binary, splits binary, runs binary, words binary, n binary, shorter binary"
 REPLIES = "part int, block long, counts binary, verdicts binary, sums binary"
 
@@ -262,17 +264,18 @@ def lm_score(docs: DataFrame, train, depth: int = 3, least: int = 2, discount: f
         for part, rows in held.items():
             own = dict.fromkeys(w for _, _, words in rows for w in words)
             number = {w: i for i, w in enumerate(w for w in own if total[w] >= least or w == END)}
-            yield _batch((part, None, None, None, None, number.get(END), sum(total[w] > 0 for w in own)), TOTALS)
+            yield _batch((part, None, None, None, None, len(number), number.get(END), sum(total[w] > 0 for w in own)), TOTALS)
             for block, nos, words in rows:
                 c = np.fromiter(map(total.__getitem__, words), np.int64, len(words))
                 symbol = np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
-                yield _batch((part, block, nos, packed(c), packed(symbol + 1), None, None), TOTALS)
+                yield _batch((part, block, nos, packed(c), packed(symbol + 1), None, None, None), TOTALS)
 
     parts_ = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks // 2)
     counted = written(dealt(blocks, parts_).mapInArrow(trimmed(totals), TOTALS), "counted")
-    place = F.shiftleft(F.col("part").cast("long"), PLACE) + F.col("end_at")
-    known, end = counted.where("block is null").agg(F.sum("known"), F.max(place)).first()
-    known, end = known or 0, end or 0
+    known, frequent, end = counted.where("block is null").agg(F.sum("known"), F.max("frequent"), F.max(F.struct("end_at", "part"))).first()
+    # a word's number in the corpus is its part's number above so many bits, and its place in the part
+    known, place = known or 0, int(frequent or 0).bit_length()
+    end = end["end_at"] + (end["part"] << place) if end else 0
     found = counted.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("part", "nos", "c", "symbol")).alias("found"))
     rows = blocks.select("block", "doc_ids", "marks", "sizes", "at").join(written_by(found, "lm_words", "block").hint("merge"), "block").select("block", "doc_ids", "marks", "sizes", "at", "found")
     base = np.log10(tokens + 0.5 * (known + 1))
@@ -289,14 +292,14 @@ def lm_score(docs: DataFrame, train, depth: int = 3, least: int = 2, discount: f
                 word = np.full(len(c), -1, np.int64)
                 for part, nos, n, s in found:
                     c[nos] = n
-                    word[nos[s > 0]] = s[s > 0] - 1 + (part << PLACE)
+                    word[nos[s > 0]] = s[s > 0] - 1 + (part << place)
                 first = np.zeros(len(at), bool)
                 first[starts[:-1]] = True
                 marks = batch[2][i].values.to_numpy(zero_copy_only=False).astype(bool)
                 symbol = np.where(word >= 0, np.arange(len(word)), -1)[at]
                 block = planted(symbol, first, np.repeat(marks, sizes), word.view(np.uint64), c, int(np.flatnonzero(word == end)[0]), 10.0 ** (np.log10(c[at] + 0.5) - base))
                 for d in range(depths):
-                    replies = {x["part"]: (loose(x["counts"], "<i8"), loose(x["verdicts"], "u1"), loose(x["sums"], "<f8").reshape(-1, 4)) for x in batch[6 + d][i].as_py() or []}
+                    replies = {x["part"]: (loose(x["counts"], "<i8"), loose(x["verdicts"], "u1"), loose(x["sums"], "<f8").reshape(4, -1).T) for x in batch[6 + d][i].as_py() or []}
                     deepened(block, question(block, parts_, split), replies, rule)
                 yield batch[0][i].as_py(), batch[1][i].values, sizes, starts, c[at], block
 
@@ -319,7 +322,7 @@ def lm_score(docs: DataFrame, train, depth: int = 3, least: int = 2, discount: f
                 a = b = 0
                 for number, values in asked:
                     m, k = len(values[0]), len(values[4])
-                    yield _batch((part, number, pressed(own[b : b + k].astype("<i8")), pressed(verdict[a : a + m]), pressed(sums[a : a + m].ravel().astype("<f8"))), REPLIES)
+                    yield _batch((part, number, pressed(own[b : b + k].astype("<i8")), pressed(verdict[a : a + m]), pressed(sums[a : a + m].T.ravel().astype("<f8"))), REPLIES)
                     a, b = a + m, b + k
 
         asked = rows.mapInArrow(trimmed(ask), QUESTIONS).repartition(parts_, "part")

@@ -70,7 +70,7 @@ def brute(rows, train, depth=3, least=2, discount=0.75, strictness=2.0):
             entries = {x: k for x, k in follow[past].items() if k >= least and x in known}
             states[past] = None
             if entries:
-                likely = {x: np.float32(probability(past[1:], x)).item() for x in entries}
+                likely = {x: lm.coarse(np.array([probability(past[1:], x)])).item() for x in entries}
                 gain = sum(k * math.log(k / total / likely[x]) for x, k in entries.items())
                 rest = total - sum(entries.values())
                 if rest:

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -44,19 +45,29 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
-def _block(number: int, table: Numbers, ids: list, marks: list, sizes: list[int], at: list[np.ndarray]) -> pa.RecordBatch:
-    flat = np.concatenate(at)
-    at.clear()
-    counts = np.bincount(flat, minlength=len(table))
+def numbered(split: Callable[[str], list]) -> Callable[[list[str]], tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Texts -> distinct words, the numbers of all words, words of each text; split gives text -> words."""
+
+    def number(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        table, at = Numbers(), []
+        for text in texts:
+            words = split(text)
+            at.append(np.fromiter(map(table.__getitem__, words), np.uint32, len(words)))
+        return pa.array(list(table), pa.binary()), np.concatenate(at), np.array([len(x) for x in at], np.int64)
+
+    return number
+
+
+def _block(number: int, found: tuple[pa.Array, np.ndarray, np.ndarray], ids: list, marks: list) -> pa.RecordBatch:
+    words, flat, sizes = found
+    counts = np.bincount(flat, minlength=len(words))
     order = np.argsort(-counts, kind="stable")  # small numbers for frequent words
     place = np.empty(len(order), np.uint32)
     place[order] = np.arange(len(order), dtype=np.uint32)
-    marked = counts if all(marks) else np.bincount(flat[np.repeat(np.array(marks, bool), sizes)], minlength=len(table))
-    words = list(table)
-    table.clear()
+    marked = counts if all(marks) else np.bincount(flat[np.repeat(np.array(marks, bool), sizes)], minlength=len(words))
     columns = [
         pa.array([number], pa.int64()),
-        pa.array([[words[i] for i in order]], pa.list_(pa.binary())),
+        pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), words.take(pa.array(order))),
         pa.ListArray.from_arrays(pa.array([0, len(marked)], pa.int32()), pa.array(marked[order], pa.int64())),
         pa.array([ids], pa.list_(pa.int64())),
         pa.array([marks], pa.list_(pa.bool_())),
@@ -66,30 +77,34 @@ def _block(number: int, table: Numbers, ids: list, marks: list, sizes: list[int]
     return pa.RecordBatch.from_arrays(columns, names=["block", "words", "counts", "doc_ids", "marks", "sizes", "at"])
 
 
-def to_blocks(docs: DataFrame, splitter: Callable[[], Callable[[str], list]], name: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of docs(doc_id, text, mark), bucketed by block. splitter() is called in the worker and gives text -> words.
+def to_blocks(docs: DataFrame, splitter: Callable[[], Callable[[list[str]], tuple]], name: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Blocks of docs(doc_id, text, mark), bucketed by block. splitter() is called in the worker, see numbered().
 
     counts has each word's occurrences in marked documents. A null text has no words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = splitter()
+        number_all = splitter()
         number = TaskContext.get().partitionId() << 32
-        table, ids, marks, sizes, at, used = Numbers(), [], [], [], [], 0
+        ids, marks, texts, used = [], [], [], 0
+
+        def block() -> pa.RecordBatch:
+            found = number_all(texts)
+            texts.clear()
+            return _block(number, found, ids, marks)
+
         for batch in batches:
             for doc_id, text, mark in zip(batch[0].to_pylist(), batch[1], batch[2].to_pylist()):
                 text = text.as_py() or ""
                 if ids and used + len(text) > block_bytes:
-                    yield _block(number, table, ids, marks, sizes, at)
-                    number, table, ids, marks, sizes, at, used = number + 1, Numbers(), [], [], [], [], 0
-                words = split(text)
-                at.append(np.fromiter(map(table.__getitem__, words), np.uint32, len(words)))
+                    yield block()
+                    number, ids, marks, used = number + 1, [], [], 0
+                texts.append(text)
                 ids.append(doc_id)
                 marks.append(mark)
-                sizes.append(len(words))
                 used += len(text)
         if ids:
-            yield _block(number, table, ids, marks, sizes, at)
+            yield block()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce("mark", F.lit(False)).alias("mark"))
     return written_by(rows.mapInArrow(trimmed(run), SCHEMA), name, "block")
@@ -104,19 +119,21 @@ def dealt(blocks: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                words, counts = batch[1][i].as_py(), batch[2][i].values.to_numpy(zero_copy_only=False)
-                part = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % parts
+                words, counts = batch[1][i].values, batch[2][i].values.to_numpy(zero_copy_only=False)
+                part = (np.fromiter(map(zlib.crc32, words.to_pylist()), np.uint32, len(words)) % parts).astype(np.uint16 if parts < 1 << 16 else np.uint32)
                 order = np.argsort(part, kind="stable")
                 ends = np.searchsorted(part[order], np.arange(parts + 1))
-                own = [order[a:b] for a, b in zip(ends[:-1], ends[1:])]
-                some = [k for k in range(parts) if len(own[k])]
+                some = np.flatnonzero(np.diff(ends)).tolist()
+                own = [order[ends[k] : ends[k + 1]] for k in some]
+                bounds = pa.array(np.append(ends[some], len(order)), pa.int32())
+                joined = pc.binary_join(pa.ListArray.from_arrays(bounds, words.take(pa.array(order))), b"\n")
                 press = zstandard.ZstdCompressor(level=3).compress
                 columns = [
                     pa.array(some, pa.int32()),
                     pa.array([batch[0][i].as_py()] * len(some), pa.int64()),
-                    pa.array([packed(own[k]) for k in some], pa.binary()),
-                    pa.array([press(b"\n".join([words[j] for j in own[k]])) for k in some], pa.binary()),
-                    pa.array([packed(counts[own[k]]) for k in some], pa.binary()),
+                    pa.array([packed(x) for x in own], pa.binary()),
+                    pa.array([press(x.as_buffer()) for x in joined], pa.binary()),
+                    pa.array([packed(counts[x]) for x in own], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "nos", "words", "counts"])
 

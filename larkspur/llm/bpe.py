@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.blocks import by_document, dealt, opened, packed, to_blocks, unpacked
+from larkspur.llm.blocks import by_document, dealt, numbered, opened, packed, to_blocks, unpacked
 from larkspur.llm.common import trimmed
 
 #: Marks a special token among the words; no word holds a blank.
@@ -84,7 +84,7 @@ def encode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     spark = docs.sparkSession
     spec = Path(tokenizer_file).read_text(encoding="utf-8")
     shared = spark.sparkContext.broadcast(spec)  # a few MB, fixed by the tokenizer
-    blocks = to_blocks(docs.select("doc_id", "text", F.lit(True).alias("mark")), lambda: word_splitter(shared.value)(), "bpe")
+    blocks = to_blocks(docs.select("doc_id", "text", F.lit(True).alias("mark")), lambda: numbered(word_splitter(shared.value)()), "bpe")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs in parallel

@@ -22,11 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.blocks import by_document, dealt, opened, packed, to_blocks, unpacked
+from larkspur.llm.blocks import Numbers, by_document, dealt, opened, packed, to_blocks, unpacked
 from larkspur.llm.common import trimmed, written, written_by
 
 #: Separates nothing and is no word: the token that ends every text, and the past of its first word.
@@ -56,11 +57,18 @@ class Rule:
 
 
 def splitter():
-    def split(text: str) -> list[bytes]:
-        # bytes.lower() and bytes.split() know ASCII only: A-Z, and blank with the controls 9 to 13
-        return [*text.encode().lower().split(), END]
+    def number(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """See blocks.numbered(). Lower case and blanks are ASCII's only: A-Z, and blank with the controls 9 to 13."""
+        words = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+        text, flat = pc.list_parent_indices(words), words.flatten()
+        some = pc.not_equal(flat, "")  # blanks at either end leave empty words
+        sizes = np.bincount(text.filter(some).to_numpy(), minlength=len(texts))
+        coded = flat.filter(some).dictionary_encode()
+        numbers, end = coded.indices.to_numpy().astype(np.uint32), len(coded.dictionary)
+        ends = np.cumsum(sizes)
+        return pa.concat_arrays([coded.dictionary.cast(pa.binary()), pa.array([END])]), np.insert(numbers, ends, np.uint32(end)), sizes + 1
 
-    return split
+    return number
 
 
 def mixed(key: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -82,6 +90,16 @@ def loose(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order of numbers from 0, and the numbers in it. Sorting them with their places in the low bits is faster than argsort()."""
+    low = max(len(keys), 1).bit_length()
+    if int(keys.max(initial=0)).bit_length() + low > 62:
+        order = np.argsort(keys, kind="stable")
+        return order, keys[order]
+    both = np.sort((keys << low) | np.arange(len(keys)))
+    return both & ((1 << low) - 1), both >> low
+
+
 def coarse(p: np.ndarray) -> np.ndarray:
     """Probabilities as floats of 12 bits, enough to tell how far distributions diverge."""
     return ((p.astype("<f4").view("<u4") + np.uint32(0x800)) & np.uint32(0xFFFFF000)).view("<f4")
@@ -132,13 +150,18 @@ class Question:
     split: np.ndarray
     row: np.ndarray
 
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that are sent, by row, and how many each row has."""
+        some = np.flatnonzero(self.row >= 0)
+        order, row = ordered(self.row[some])
+        return some[order], np.bincount(row, minlength=len(self.asked))
+
 
 def question(block: Block, parts: int, split: int) -> Question:
     on = np.flatnonzero(block.context >= 0)
     wide = len(block.word) + 1
     codes = block.context[on] * wide + block.symbol[on] + 1
-    order = np.argsort(codes)
-    codes = codes[order]
+    order, codes = ordered(codes)
     new = np.diff(codes, prepend=-1) != 0
     code = np.empty(len(on), np.int64)
     code[order] = np.cumsum(new) - 1
@@ -164,9 +187,7 @@ def question(block: Block, parts: int, split: int) -> Question:
 
 def sent(block: Block, q: Question) -> Iterator[tuple]:
     """For each part: keys, totals and splits of the rows, how many pairs each has; word, n and shorter of the pairs."""
-    pairs = np.flatnonzero(q.row >= 0)
-    pairs = pairs[np.argsort(q.row[pairs], kind="stable")]
-    runs = np.bincount(q.row[pairs], minlength=len(q.asked))
+    pairs, runs = q.pairs()
     ends = np.concatenate([[0], np.cumsum(runs)])
     for k in np.unique(q.part).tolist():
         a, b = np.searchsorted(q.part, k), np.searchsorted(q.part, k, "right")
@@ -203,12 +224,10 @@ def judged(key: np.ndarray, total: np.ndarray, splits: np.ndarray, runs: np.ndar
 def deepened(block: Block, q: Question, replies: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], rule: Rule) -> None:
     """Scores a block's tokens one depth deeper, and gives it the contexts of the next one."""
     counts, state, kept = np.zeros(len(q.row), np.int64), np.zeros(len(block.key), bool), np.zeros(len(block.key))
-    pairs = np.flatnonzero(q.row >= 0)
-    pairs = pairs[np.argsort(q.row[pairs], kind="stable")]
     own, verdict, sums = (np.concatenate([np.zeros((0, *shape)), *(replies[k][i] for k in sorted(replies))]) for i, shape in enumerate(((), (), (4,))))
-    counts[pairs] = own
-    state[q.asked[verdict == 1]] = True
-    np.add.at(kept, q.asked[verdict == 1], sums[verdict == 1, 3])
+    counts[q.pairs()[0]] = own
+    whole = verdict == 1
+    state[q.asked[whole]], kept[q.asked[whole]] = True, sums[whole, 3]
     parted = verdict == 2
     if parted.any():
         added = np.zeros((len(block.key), 4))
@@ -256,21 +275,25 @@ def lm_score(docs: DataFrame, train, depth: int = 3, least: int = 2, discount: f
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How many words the part has; then each block's totals and symbols."""
-        held, total = defaultdict(list), defaultdict(int)
+        held = defaultdict(list)
         for part, block, nos, words, counts in opened(batches):
-            held[part].append((block, nos, words))
-            for w, n in zip(words, counts.tolist()):
-                total[w] += n
+            held[part].append((block, nos, words, counts))
         for part, rows in held.items():
-            own = dict.fromkeys(w for _, _, words in rows for w in words)
-            number = {w: i for i, w in enumerate(w for w in own if total[w] >= least or w == END)}
-            yield _batch((part, None, None, None, None, len(number), number.get(END), sum(total[w] > 0 for w in own)), TOTALS)
-            for block, nos, words in rows:
-                c = np.fromiter(map(total.__getitem__, words), np.int64, len(words))
-                symbol = np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
-                yield _batch((part, block, nos, packed(c), packed(symbol + 1), None, None, None), TOTALS)
-
-    parts_ = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks // 2)
+            own = Numbers()
+            rows = [(block, nos, np.fromiter(map(own.__getitem__, words), np.int64, len(words)), counts) for block, nos, words, counts in rows]
+            total = np.zeros(len(own), np.int64)
+            for _, _, at, counts in rows:
+                total[at] += counts  # a block has a word once
+            end = own.get(END)
+            frequent = total >= least
+            if end is not None:
+                frequent[end] = True
+            symbol = np.where(frequent, np.cumsum(frequent), 0)
+            yield _batch((part, None, None, None, None, int(frequent.sum()), None if end is None else int(symbol[end]) - 1, int((total > 0).sum())), TOTALS)
+            for block, nos, at, _ in rows:
+                yield _batch((part, block, nos, packed(total[at]), packed(symbol[at]), None, None, None), TOTALS)
+
+    parts_ = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks // 8)
     counted = written(dealt(blocks, parts_).mapInArrow(trimmed(totals), TOTALS), "counted")
     known, frequent, end = counted.where("block is null").agg(F.sum("known"), F.max("frequent"), F.max(F.struct("end_at", "part"))).first()
     # a word's number in the corpus is its part's number above so many bits, and its place in the part
@@ -297,11 +320,11 @@ def lm_score(docs: DataFrame, train, depth: int = 3, least: int = 2, discount: f
                 first[starts[:-1]] = True
                 marks = batch[2][i].values.to_numpy(zero_copy_only=False).astype(bool)
                 symbol = np.where(word >= 0, np.arange(len(word)), -1)[at]
-                block = planted(symbol, first, np.repeat(marks, sizes), word.view(np.uint64), c, int(np.flatnonzero(word == end)[0]), 10.0 ** (np.log10(c[at] + 0.5) - base))
+                block = planted(symbol, first, np.repeat(marks, sizes), word.view(np.uint64), c, int(np.flatnonzero(word == end)[0]), ((c + 0.5) / 10.0**base)[at])
                 for d in range(depths):
                     replies = {x["part"]: (loose(x["counts"], "<i8"), loose(x["verdicts"], "u1"), loose(x["sums"], "<f8").reshape(4, -1).T) for x in batch[6 + d][i].as_py() or []}
                     deepened(block, question(block, parts_, split), replies, rule)
-                yield batch[0][i].as_py(), batch[1][i].values, sizes, starts, c[at], block
+                yield batch[0][i].as_py(), batch[1][i].values, sizes, starts, at, c, block
 
     for d in range(depth):
 
@@ -330,10 +353,9 @@ def lm_score(docs: DataFrame, train, depth: int = 3, least: int = 2, discount: f
         rows = rows.join(written_by(replies, f"lm_replies{d}", "block").hint("merge"), "block", "left")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, sizes, starts, c, block in opened_blocks(batches, depth):
-            p0 = np.log10(c + 0.5) - base
-            at = starts[:-1]
-            columns = [ids, pa.array(sizes, pa.int64()), pa.array(np.add.reduceat((c > 0).astype(np.int64), at), pa.int64()), pa.array(np.add.reduceat(p0, at)), pa.array(np.add.reduceat(np.log10(block.p), at))]
+        for _, ids, sizes, starts, at, c, block in opened_blocks(batches, depth):
+            sums = [np.add.reduceat(x, starts[:-1]) for x in ((c > 0).astype(np.int64)[at], (np.log10(c + 0.5) - base)[at], np.log10(block.p))]
+            columns = [ids, pa.array(sizes, pa.int64()), *map(pa.array, sums)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     out = rows.mapInArrow(trimmed(scored), "doc_id long, n_tokens long, n_known long, base_score double, score double")

@@ -58,6 +58,12 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets shuffle files of finished jobs go: Spark removes them once the driver's JVM has collected their plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; null counts as the empty text.
 

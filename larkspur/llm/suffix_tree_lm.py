@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.blocks import Numbers, by_document, dealt, opened, packed, to_blocks, unpacked
-from larkspur.llm.common import trimmed, written, written_by
+from larkspur.llm.common import freed, trimmed, written_by
 
 #: Separates nothing and is no word: the token that ends every text, and the past of its first word.
 END = b""
@@ -101,8 +101,8 @@ def ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def coarse(p: np.ndarray) -> np.ndarray:
-    """Probabilities as floats of 12 bits, enough to tell how far distributions diverge."""
-    return ((p.astype("<f4").view("<u4") + np.uint32(0x800)) & np.uint32(0xFFFFF000)).view("<f4")
+    """Probabilities as floats of 8 bits, enough to tell how far distributions diverge."""
+    return ((p.astype("<f4").view("<u4") + np.uint32(0x8000)) & np.uint32(0xFFFF0000)).view("<f4")
 
 
 @dataclass
@@ -135,7 +135,9 @@ class Question:
     """A block's distinct (context, symbol) of one depth, and what goes to which part.
 
     on: tokens with a context; code: the number of each one's pair; context, symbol (-1 for rare), n and token by pair.
-    part, asked, key: contexts and hashes by part, one row for each split of a context; row: the row of each pair, -1 for rare symbols.
+    A context all of whose training occurrences lie in the block needs no question: own marks its pairs. part, asked, key:
+    the other contexts and their hashes by part, one row for each split of a context; row: the row of each pair, -1 for
+    rare symbols and pairs of own contexts.
     """
 
     on: np.ndarray
@@ -144,6 +146,7 @@ class Question:
     symbol: np.ndarray
     n: np.ndarray
     token: np.ndarray
+    own: np.ndarray
     part: np.ndarray
     asked: np.ndarray
     key: np.ndarray
@@ -170,7 +173,9 @@ def question(block: Block, parts: int, split: int) -> Question:
     context, symbol, token = codes[starts] // wide, codes[starts] % wide - 1, on[order[starts]]
     # a context's pairs are neighbours; it asks each of its splits, most contexts have one
     mine = np.flatnonzero(np.diff(context, prepend=-1))
-    splits = 1 + block.total[context[mine]] // split
+    of = np.cumsum(np.diff(context, prepend=-1) != 0) - 1
+    whole = np.bincount(of, n, len(mine)) == block.total[context[mine]]
+    splits = np.where(whole, 0, 1 + block.total[context[mine]] // split)
     asked = np.repeat(context[mine], splits)
     begin = np.cumsum(splits) - splits
     number = np.arange(len(asked)) - np.repeat(begin, splits)
@@ -179,20 +184,21 @@ def question(block: Block, parts: int, split: int) -> Question:
     by_part = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
     place = np.empty(len(asked), np.int64)
     place[by_part] = np.arange(len(asked))
-    of = np.cumsum(np.diff(context, prepend=-1) != 0) - 1
-    chosen = (mixed(block.word[symbol], np.full(1, 7, np.uint64)) % splits[of].astype(np.uint64)).astype(np.int64) if len(block.word) else symbol
-    row = np.where(symbol >= 0, place[begin[of] + chosen], -1) if len(symbol) else symbol
-    return Question(on, code, context, symbol, n, token, part[by_part], asked[by_part], key[by_part], np.repeat(splits, splits)[by_part], row)
+    own, row = whole[of], np.full(len(symbol), -1, np.int64)
+    go = np.flatnonzero((symbol >= 0) & ~own)
+    chosen = mixed(block.word[symbol[go]], np.full(1, 7, np.uint64)) % splits[of[go]].astype(np.uint64)
+    row[go] = place[begin[of[go]] + chosen.astype(np.int64)]
+    return Question(on, code, context, symbol, n, token, own, part[by_part], asked[by_part], key[by_part], np.repeat(splits, splits)[by_part], row)
 
 
 def sent(block: Block, q: Question) -> Iterator[tuple]:
-    """For each part: keys, totals and splits of the rows, how many pairs each has; word, n and shorter of the pairs."""
+    """For each part: keys (48 bits), totals and splits of the rows, how many pairs each has; word, n and shorter of the pairs."""
     pairs, runs = q.pairs()
     ends = np.concatenate([[0], np.cumsum(runs)])
     for k in np.unique(q.part).tolist():
         a, b = np.searchsorted(q.part, k), np.searchsorted(q.part, k, "right")
         own, some = q.asked[a:b], pairs[ends[a] : ends[b]]
-        yield k, q.key[a:b].astype("<u8"), block.total[own].astype("<i8"), q.split[a:b].astype("<i4"), runs[a:b].astype("<i4"), block.word[q.symbol[some]].astype("<u8"), q.n[some].astype("<i4"), coarse(block.p[q.token[some]])
+        yield k, (q.key[a:b] >> np.uint64(16)).astype("<u8"), block.total[own].astype("<i8"), q.split[a:b].astype("<i4"), runs[a:b].astype("<i4"), block.word[q.symbol[some]].astype("<u8"), q.n[some].astype("<i4"), coarse(block.p[q.token[some]])
 
 
 def judged(key: np.ndarray, total: np.ndarray, splits: np.ndarray, runs: np.ndarray, word: np.ndarray, n: np.ndarray, shorter: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,9 +229,13 @@ def judged(key: np.ndarray, total: np.ndarray, splits: np.ndarray, runs: np.ndar
 
 def deepened(block: Block, q: Question, replies: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], rule: Rule) -> None:
     """Scores a block's tokens one depth deeper, and gives it the contexts of the next one."""
-    counts, state, kept = np.zeros(len(q.row), np.int64), np.zeros(len(block.key), bool), np.zeros(len(block.key))
+    counts = np.zeros(len(q.row), np.int64)
     own, verdict, sums = (np.concatenate([np.zeros((0, *shape)), *(replies[k][i] for k in sorted(replies))]) for i, shape in enumerate(((), (), (4,))))
     counts[q.pairs()[0]] = own
+    here = np.flatnonzero(q.own & (q.symbol >= 0) & (q.n >= rule.least))
+    counts[here] = q.n[here]
+    added = np.stack(rule.shares(q.context[here], q.n[here].astype(float), coarse(block.p[q.token[here]]).astype(float), len(block.key)), axis=1)
+    state, kept = rule.states(*added[:, :3].T, block.total.astype(float)), added[:, 3]
     whole = verdict == 1
     state[q.asked[whole]], kept[q.asked[whole]] = True, sums[whole, 3]
     parted = verdict == 2
@@ -253,6 +263,7 @@ def _batch(values: tuple, schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], types[t]) for v, (_, t) in zip(values, fields)], names=[name for name, _ in fields])
 
 
+#: Rows of negative blocks hold what a part says of itself.
 TOTALS = "part int, block long, nos binary, c binary, symbol binary, frequent long, end_at long, known long"
 QUESTIONS = "part int, block long, keys binary, totals binary, splits binary, runs binary, words binary, n binary, shorter binary"
 REPLIES = "part int, block long, counts binary, verdicts binary, sums binary"
@@ -289,18 +300,20 @@ def lm_score(docs: DataFrame, train, depth: int = 3, least: int = 2, discount: f
             if end is not None:
                 frequent[end] = True
             symbol = np.where(frequent, np.cumsum(frequent), 0)
-            yield _batch((part, None, None, None, None, int(frequent.sum()), None if end is None else int(symbol[end]) - 1, int((total > 0).sum())), TOTALS)
+            yield _batch((part, -1 - part, None, None, None, int(frequent.sum()), None if end is None else int(symbol[end]) - 1, int((total > 0).sum())), TOTALS)
             for block, nos, at, _ in rows:
                 yield _batch((part, block, nos, packed(total[at]), packed(symbol[at]), None, None, None), TOTALS)
 
     parts_ = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks // 8)
-    counted = written(dealt(blocks, parts_).mapInArrow(trimmed(totals), TOTALS), "counted")
-    known, frequent, end = counted.where("block is null").agg(F.sum("known"), F.max("frequent"), F.max(F.struct("end_at", "part"))).first()
+    counted = dealt(blocks, parts_).mapInArrow(trimmed(totals), TOTALS)
+    counted = written_by(counted.groupBy("block").agg(F.collect_list(F.struct("part", "nos", "c", "symbol", "frequent", "end_at", "known")).alias("found")), "lm_words", "block")
+    own = counted.where("block < 0").select(F.explode("found").alias("f")).select("f.*")
+    known, frequent, end = own.agg(F.sum("known"), F.max("frequent"), F.max(F.struct("end_at", "part"))).first()
     # a word's number in the corpus is its part's number above so many bits, and its place in the part
     known, place = known or 0, int(frequent or 0).bit_length()
     end = end["end_at"] + (end["part"] << place) if end else 0
-    found = counted.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("part", "nos", "c", "symbol")).alias("found"))
-    rows = blocks.select("block", "doc_ids", "marks", "sizes", "at").join(written_by(found, "lm_words", "block").hint("merge"), "block").select("block", "doc_ids", "marks", "sizes", "at", "found")
+    rows = blocks.select("block", "doc_ids", "marks", "sizes", "at").join(counted.hint("merge"), "block").select("block", "doc_ids", "marks", "sizes", "at", "found")
+    freed(spark)
     base = np.log10(tokens + 0.5 * (known + 1))
     rule = Rule(least, discount, strictness, tokens)
 
@@ -351,6 +364,7 @@ def lm_score(docs: DataFrame, train, depth: int = 3, least: int = 2, discount: f
         asked = rows.mapInArrow(trimmed(ask), QUESTIONS).repartition(parts_, "part")
         replies = asked.mapInArrow(trimmed(judge), REPLIES).groupBy("block").agg(F.collect_list(F.struct("part", "counts", "verdicts", "sums")).alias(f"replies{d}"))
         rows = rows.join(written_by(replies, f"lm_replies{d}", "block").hint("merge"), "block", "left")
+        freed(spark)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, ids, sizes, starts, at, c, block in opened_blocks(batches, depth):

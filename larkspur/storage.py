@@ -30,7 +30,13 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/larkspur/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Removes intermediate tables that nothing reads any more."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Removes all intermediate tables below the shared folder, once the results that read them are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/larkspur")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, f"{shared_dir(spark)}/larkspur")

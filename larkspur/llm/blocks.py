@@ -77,7 +77,7 @@ def _block(number: int, found: tuple[pa.Array, np.ndarray, np.ndarray], ids: lis
     return pa.RecordBatch.from_arrays(columns, names=["block", "words", "counts", "doc_ids", "marks", "sizes", "at"])
 
 
-def to_blocks(docs: DataFrame, splitter: Callable[[], Callable[[list[str]], tuple]], name: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def to_blocks(docs: DataFrame, splitter: Callable[[], Callable[[list[str]], tuple]], name: str, block_bytes: int = BLOCK_BYTES, path: str | None = None) -> DataFrame:
     """Blocks of docs(doc_id, text, mark), bucketed by block. splitter() is called in the worker, see numbered().
 
     counts has each word's occurrences in marked documents. A null text has no words.
@@ -107,7 +107,7 @@ def to_blocks(docs: DataFrame, splitter: Callable[[], Callable[[list[str]], tupl
             yield block()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce("mark", F.lit(False)).alias("mark"))
-    return written_by(rows.mapInArrow(trimmed(run), SCHEMA), name, "block")
+    return written_by(rows.mapInArrow(trimmed(run), SCHEMA), name, "block", path)
 
 
 def dealt(blocks: DataFrame, parts: int) -> DataFrame:

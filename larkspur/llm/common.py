@@ -92,8 +92,8 @@ def maybe_in(df: DataFrame, key: str, bits: DataFrame) -> DataFrame:
     return maybe_flag(df, key, bits, "__lk_flag").where("__lk_flag").drop("__lk_flag")
 
 
-def written_by(df: DataFrame, name: str, key: str) -> DataFrame:
-    """Writes df to the shared folder in buckets of key, one for each shuffle partition; rows are not moved.
+def written_by(df: DataFrame, name: str, key: str, path: str | None = None) -> DataFrame:
+    """Writes df to the shared folder (to path, if given) in buckets of key, one for each shuffle partition; rows are not moved.
 
     Two such tables, or one and an aggregate by key, join on key without moving their rows again.
     """
@@ -101,7 +101,7 @@ def written_by(df: DataFrame, name: str, key: str) -> DataFrame:
     table = f"larkspur_{name}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     small_batches(spark)
-    df.write.options(path=table_path(spark, name), compression="zstd").bucketBy(n, key).format("parquet").saveAsTable(table)
+    df.write.options(path=path or table_path(spark, name), compression="zstd").bucketBy(n, key).format("parquet").saveAsTable(table)
     return spark.table(table)
 
 

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.blocks import Numbers, by_document, dealt, opened, packed, to_blocks, unpacked
 from larkspur.llm.common import freed, trimmed, written_by
+from larkspur.storage import remove, table_path
 
 #: Separates nothing and is no word: the token that ends every text, and the past of its first word.
 END = b""
@@ -181,7 +182,8 @@ def question(block: Block, parts: int, split: int) -> Question:
     number = np.arange(len(asked)) - np.repeat(begin, splits)
     key = mixed(block.key[asked], number.astype(np.uint64))
     part = (key % np.uint64(parts)).astype(np.int64)
-    by_part = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
+    by_part = np.argsort(key, kind="stable")  # rising keys in each part
+    by_part = by_part[np.argsort(part[by_part].astype(np.uint16) if parts < 1 << 16 else part[by_part], kind="stable")]
     place = np.empty(len(asked), np.int64)
     place[by_part] = np.arange(len(asked))
     own, row = whole[of], np.full(len(symbol), -1, np.int64)
@@ -192,13 +194,13 @@ def question(block: Block, parts: int, split: int) -> Question:
 
 
 def sent(block: Block, q: Question) -> Iterator[tuple]:
-    """For each part: keys (48 bits), totals and splits of the rows, how many pairs each has; word, n and shorter of the pairs."""
+    """For each part: keys (48 bits, as differences), totals and splits of the rows, how many pairs each has; word, n and shorter of the pairs."""
     pairs, runs = q.pairs()
     ends = np.concatenate([[0], np.cumsum(runs)])
     for k in np.unique(q.part).tolist():
         a, b = np.searchsorted(q.part, k), np.searchsorted(q.part, k, "right")
         own, some = q.asked[a:b], pairs[ends[a] : ends[b]]
-        yield k, (q.key[a:b] >> np.uint64(16)).astype("<u8"), block.total[own].astype("<i8"), q.split[a:b].astype("<i4"), runs[a:b].astype("<i4"), block.word[q.symbol[some]].astype("<u8"), q.n[some].astype("<i4"), coarse(block.p[q.token[some]])
+        yield k, np.diff(q.key[a:b] >> np.uint64(16), prepend=np.uint64(0)).astype("<u8"), block.total[own].astype("<i8"), q.split[a:b].astype("<i4"), runs[a:b].astype("<i4"), block.word[q.symbol[some]].astype("<u8"), q.n[some].astype("<i4"), coarse(block.p[q.token[some]])
 
 
 def judged(key: np.ndarray, total: np.ndarray, splits: np.ndarray, runs: np.ndarray, word: np.ndarray, n: np.ndarray, shorter: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -264,7 +266,7 @@ def _batch(values: tuple, schema: str) -> pa.RecordBatch:
 
 
 #: Rows of negative blocks hold what a part says of itself.
-TOTALS = "part int, block long, nos binary, c binary, symbol binary, frequent long, end_at long, known long"
+TOTALS = "part int, block long, nos binary, c binary, symbol binary, end_at long, known long"
 QUESTIONS = "part int, block long, keys binary, totals binary, splits binary, runs binary, words binary, n binary, shorter binary"
 REPLIES = "part int, block long, counts binary, verdicts binary, sums binary"
 
@@ -280,7 +282,8 @@ def lm_score(docs: DataFrame, train, depth: int = 3, least: int = 2, discount: f
     sums go to the driver.
     """
     spark = docs.sparkSession
-    blocks = to_blocks(docs.select("doc_id", "text", train.alias("mark")), splitter, "lm")
+    blocks_at = table_path(spark, "lm")
+    blocks = to_blocks(docs.select("doc_id", "text", train.alias("mark")), splitter, "lm", path=blocks_at)
     found = blocks.agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)), F.count("*")).first()
     tokens, n_blocks = int(found[0] or 0), found[1]
 
@@ -299,20 +302,24 @@ def lm_score(docs: DataFrame, train, depth: int = 3, least: int = 2, discount: f
             frequent = total >= least
             if end is not None:
                 frequent[end] = True
-            symbol = np.where(frequent, np.cumsum(frequent), 0)
-            yield _batch((part, -1 - part, None, None, None, int(frequent.sum()), None if end is None else int(symbol[end]) - 1, int((total > 0).sum())), TOTALS)
+            symbol = np.zeros(len(own), np.int64)  # by frequency, from 1; 0 for rare words
+            symbol[np.argsort(np.where(frequent, -total, 1), kind="stable")] = np.arange(len(own)) + 1
+            symbol[~frequent] = 0
+            yield _batch((part, -1 - part, None, None, None, None if end is None else int(symbol[end]) - 1, int((total > 0).sum())), TOTALS)
             for block, nos, at, _ in rows:
-                yield _batch((part, block, nos, packed(total[at]), packed(symbol[at]), None, None, None), TOTALS)
+                yield _batch((part, block, nos, packed(total[at]), packed(symbol[at]), None, None), TOTALS)
 
     parts_ = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks // 8)
     counted = dealt(blocks, parts_).mapInArrow(trimmed(totals), TOTALS)
-    counted = written_by(counted.groupBy("block").agg(F.collect_list(F.struct("part", "nos", "c", "symbol", "frequent", "end_at", "known")).alias("found")), "lm_words", "block")
+    places = [table_path(spark, name) for name in ("lm_words", "lm_rows")]
+    counted = written_by(counted.groupBy("block").agg(F.collect_list(F.struct("part", "nos", "c", "symbol", "end_at", "known")).alias("found")), "lm_words", "block", places[0])
     own = counted.where("block < 0").select(F.explode("found").alias("f")).select("f.*")
-    known, frequent, end = own.agg(F.sum("known"), F.max("frequent"), F.max(F.struct("end_at", "part"))).first()
-    # a word's number in the corpus is its part's number above so many bits, and its place in the part
-    known, place = known or 0, int(frequent or 0).bit_length()
-    end = end["end_at"] + (end["part"] << place) if end else 0
+    known, end = own.agg(F.sum("known"), F.max(F.struct("end_at", "part"))).first()
+    # a word's number in the corpus is its rank in its part times the number of parts, and its part: small ones are frequent
+    known, end = known or 0, end["end_at"] * parts_ + end["part"] if end else 0
     rows = blocks.select("block", "doc_ids", "marks", "sizes", "at").join(counted.hint("merge"), "block").select("block", "doc_ids", "marks", "sizes", "at", "found")
+    rows = written_by(rows, "lm_rows", "block", places[1])
+    remove(spark, blocks_at, places[0])  # all that later steps read is in lm_rows
     freed(spark)
     base = np.log10(tokens + 0.5 * (known + 1))
     rule = Rule(least, discount, strictness, tokens)
@@ -328,7 +335,7 @@ def lm_score(docs: DataFrame, train, depth: int = 3, least: int = 2, discount: f
                 word = np.full(len(c), -1, np.int64)
                 for part, nos, n, s in found:
                     c[nos] = n
-                    word[nos[s > 0]] = s[s > 0] - 1 + (part << place)
+                    word[nos[s > 0]] = (s[s > 0] - 1) * parts_ + part
                 first = np.zeros(len(at), bool)
                 first[starts[:-1]] = True
                 marks = batch[2][i].values.to_numpy(zero_copy_only=False).astype(bool)
@@ -354,6 +361,8 @@ def lm_score(docs: DataFrame, train, depth: int = 3, least: int = 2, discount: f
                     held[part].append((number, values))
             for part in list(held):
                 asked = [(number, [loose(x, t) for x, t in zip(values, kinds)]) for number, values in held.pop(part)]
+                for _, values in asked:
+                    values[0] = np.cumsum(values[0], dtype=np.uint64)
                 own, verdict, sums = judged(*(np.concatenate([v[k] for _, v in asked]) for k in range(7)), rule)
                 a = b = 0
                 for number, values in asked:

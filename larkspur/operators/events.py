@@ -45,3 +45,24 @@ def running_value(events: DataFrame) -> DataFrame:
     frame = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     c = F.round(F.col("value") * 100).cast("bigint")
     return events.select("user_id", "event_id", F.sum(c).over(frame).cast("bigint").alias("running_cents"))
+
+
+def latest_by_id(events: DataFrame) -> DataFrame:
+    """The latest row of each event_id; of equally late ones that with the smallest session_id."""
+    rest = [c for c in events.columns if c not in ("event_id", "ts", "session_id")]
+    latest = events.groupBy("event_id").agg(F.max("ts").alias("ts"))
+    rows = events.alias("e").join(latest.alias("l"), "event_id").where(F.col("e.ts").eqNullSafe(F.col("l.ts"))).select("event_id", "e.ts", "e.session_id", *[f"e.{c}" for c in rest])
+    return rows.groupBy("event_id").agg(F.min(F.struct("session_id", "ts", *rest)).alias("one")).select(*[F.col(c) if c == "event_id" else F.col(f"one.{c}") for c in events.columns])
+
+
+def payload_strings(events: DataFrame) -> DataFrame:
+    """By event_type: payloads that hold the lower-cased type, bytes of a lower-cased part, digits of the first number."""
+    low = F.lower("payload_json")
+    digits = F.regexp_extract("payload_json", "([0-9]+)", 1)
+    return events.groupBy("event_type").agg(F.count_if(low.contains(F.lower("event_type"))).alias("n_contains"), total(F.octet_length(F.substring(low, 3, 40))).alias("sum_part_bytes"), total(F.char_length(digits)).alias("sum_digits"), F.count("*").alias("count_rows"))
+
+
+def payload_json(events: DataFrame) -> DataFrame:
+    """By event_type: sums of $.user.id and $.amount."""
+    user, amount = (F.get_json_object("payload_json", p).cast("bigint") for p in ("$.user.id", "$.amount"))
+    return events.groupBy("event_type").agg(total(user).alias("sum_user_id"), total(amount).alias("sum_amount"), F.count("*").alias("count_rows"))

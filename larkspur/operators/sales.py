@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from larkspur.functions.scalar import micros, millionths, money_text
 from larkspur.functions.wrapping import unsigned, wrapping
 
-#: A side is broadcast only up to this size; beyond it Spark shuffles both.
-BROADCAST_BYTES = 64 << 20
+#: A side is broadcast only up to this size, which is that of its files, several times as much in memory; beyond it Spark shuffles both.
+BROADCAST_BYTES = 16 << 20
 
 
 def total(column) -> F.Column:
@@ -85,8 +85,10 @@ def top_n(sales: DataFrame, n: int = 100) -> DataFrame:
 
 
 def distinct_count(sales: DataFrame) -> DataFrame:
-    """Exact counts. A pair is a struct, which counts pairs with a NULL too."""
-    return sales.agg(F.count_distinct("customer_id").alias("distinct_customers"), F.count_distinct("product_id").alias("distinct_products"), F.count_distinct(F.struct("store_id", "transaction_date")).alias("distinct_store_days"))
+    """Exact counts, each by a distinct of its own: one aggregate with three would make three rows of every row. A pair counts with a NULL too."""
+    counts = [sales.select("customer_id").where("customer_id is not null").distinct(), sales.select("product_id").where("product_id is not null").distinct(), sales.select("store_id", "transaction_date").distinct()]
+    one, two, three = (c.agg(F.count("*").alias(n)) for c, n in zip(counts, ("distinct_customers", "distinct_products", "distinct_store_days")))
+    return one.join(F.broadcast(two)).join(F.broadcast(three))
 
 
 def distinct_count_approx(sales: DataFrame, rsd: float = 0.01) -> DataFrame:
@@ -95,9 +97,31 @@ def distinct_count_approx(sales: DataFrame, rsd: float = 0.01) -> DataFrame:
 
 
 def running_sum(sales: DataFrame) -> DataFrame:
-    """Running cents of each customer by (timestamp, id)."""
-    frame = Window.partitionBy("customer_id").orderBy("transaction_timestamp", "transaction_id").rowsBetween(Window.unboundedPreceding, 0)
-    return sales.select("customer_id", "transaction_id", total("cents").over(frame).alias("running_cents"))
+    """Running cents of each customer by (timestamp, id), one row for each sale."""
+    return _running(sales).select("customer_id", "transaction_id", "running_cents")
+
+
+def _running(sales: DataFrame) -> DataFrame:
+    """Running cents of each customer by (timestamp, id).
+
+    A customer's days are summed first; a row's value is the total of the days before and the sum within its day, so the
+    rows of a customer with a third of all sales are dealt by day and not sorted in one task.
+    """
+    rows = sales.select("customer_id", "transaction_id", "transaction_timestamp", "cents", F.col("transaction_timestamp").cast("date").alias("day"))
+    days = rows.groupBy("customer_id", "day").agg(total("cents").alias("of_day"))
+    before = F.sum("of_day").over(Window.partitionBy("customer_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
+    days = days.select(F.col("customer_id").alias("c"), F.col("day").alias("d"), F.coalesce(before, F.lit(0)).alias("before"))
+    within = F.sum("cents").over(Window.partitionBy("customer_id", "day").orderBy("transaction_timestamp", "transaction_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("within", within).join(days, F.col("customer_id").eqNullSafe(F.col("c")) & F.col("day").eqNullSafe(F.col("d")))
+    # where a day has only NULLs so far the value is that of the days before
+    return rows.select("customer_id", "transaction_id", "transaction_timestamp", (F.col("before") + F.coalesce("within", F.lit(0))).cast("bigint").alias("running_cents"))
+
+
+def window_running_sum(sales: DataFrame) -> DataFrame:
+    """Each customer's last running value, and the sum of all its running values modulo 2**64."""
+    with wrapping(sales.sparkSession):
+        out = _running(sales).groupBy("customer_id").agg(F.max_by("running_cents", F.struct("transaction_timestamp", "transaction_id")).alias("last_running_cents"), F.sum("running_cents").alias("wrapped"))
+        return out.select("customer_id", "last_running_cents", unsigned(F.col("wrapped")).alias("sum_running_mod_2_64"))
 
 
 def summarise_columns(sales: DataFrame) -> DataFrame:

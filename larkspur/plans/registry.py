@@ -37,7 +37,7 @@ OPERATIONS = {
         Operation("OP08", "sort", S.sort, ("transaction_id", "transaction_timestamp"), modes=("materialized",)),
         Operation("OP09", "top_n", S.top_n, ("customer_id", "cents")),
         Operation("OP10", "distinct_count", S.distinct_count, ("customer_id", "product_id", "store_id", "transaction_date")),
-        Operation("OP11", "running_sum", S.running_sum, ("customer_id", "transaction_id", "transaction_timestamp", "cents"), modes=("materialized",)),
+        Operation("OP11", "running_sum", S.window_running_sum, ("customer_id", "transaction_id", "transaction_timestamp", "cents"), modes=("materialized",)),
         Operation("OP15", "parse_csv", S.summarise_columns, EVERY, csv=True),
         Operation("OP19", "null_handling", S.null_handling, ("quantity", "country")),
         Operation("OP21", "decimal_arithmetic", S.decimal_arithmetic, ("cents",), floats=("naive_sum", "kahan_sum")),

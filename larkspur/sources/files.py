@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
@@ -53,14 +58,16 @@ def write_csv(df: DataFrame, path: str) -> None:
     flat(df).write.options(header=True, nullValue=NULL_TEXT, emptyValue="", timestampNTZFormat=TIME_FORMAT, escape='"', quoteAll=False).csv(path)
 
 
-def csv_text(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def csv_text(spark: SparkSession, path: str, columns: list[str], multi_line: bool = True) -> DataFrame:
     """All fields as text with NULL and "" told apart.
 
+    multi_line: fields may hold line ends, so each file is read by one task; where they hold none, False lets large files be split.
+
     The reader makes an empty field NULL and leaves \\N as text, so both are put right here. A field that spells \\N in
     quotes can't be told from NULL; the tables never hold one.
     """
     schema = StructType([StructField(c, StringType()) for c in columns])
-    rows = spark.read.options(header=True, quote='"', escape='"', multiLine=False, enforceSchema=True).schema(schema).csv(path)
+    rows = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line, enforceSchema=True).schema(schema).csv(path)
     return rows.select(*[F.when(F.col(c).isNull(), "").when(F.col(c) != NULL_TEXT, F.col(c)).alias(c) for c in columns])
 
 
@@ -74,10 +81,10 @@ def typed(text: Column, kind: str) -> Column:
     return text.cast(kind)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
     """Typed rows of a CSV folder; only the columns that a query uses are converted."""
     fields = StructType.fromDDL(schema).fields
-    rows = csv_text(spark, path, [f.name for f in fields])
+    rows = csv_text(spark, path, [f.name for f in fields], multi_line)
     return rows.select(*[typed(F.col(f.name), f.dataType.simpleString()).alias(f.name) for f in fields])
 
 
@@ -91,6 +98,54 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESULT_SCHEMA).json(path)
 
 
-def manifest(table: str, rows: int, seed: int, digest: dict, form: str, schema: str) -> dict:
-    """What a written table is: its size, seed, schema and column digests (larkspur.digest)."""
-    return {"table": table, "rows": rows, "seed": seed, "format": form, "schema": schema, "columns": {k: {"sum": f"{s:016x}", "nulls": n} for k, (s, n) in digest.items()}}
+def write_arrow(df: DataFrame, path: str) -> None:
+    """One Arrow IPC file for each partition, in a folder that all executors reach; path is a URI. A repeated task writes its file again."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = pa.fs.FileSystem.from_uri(path)
+        fs.create_dir(folder)
+        part, rows = TaskContext.get().partitionId(), 0
+        batches = iter(batches)
+        first = next(batches, None)
+        if first is not None:
+            with fs.open_output_stream(f"{folder}/part-{part:05d}.arrow") as sink, pa.ipc.new_file(sink, first.schema) as out:
+                for batch in chain([first], batches):
+                    out.write_batch(batch)
+                    rows += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], names=["rows"])
+
+    df.mapInArrow(write, "rows long").agg(F.sum("rows")).collect()
+
+
+def read_arrow(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a folder of Arrow IPC files, file by file."""
+    fs, folder = pa.fs.FileSystem.from_uri(path)
+    names = sorted(f.path for f in fs.get_file_info(pa.fs.FileSelector(folder)) if f.path.endswith(".arrow"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = pa.fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for name in batch[0].to_pylist():
+                with fs.open_input_file(name) as source:
+                    file = pa.ipc.open_file(source)
+                    yield from (file.get_batch(i) for i in range(file.num_record_batches))
+
+    listed = spark.createDataFrame([(n,) for n in names], "name string").repartition(max(1, len(names)))
+    return listed.mapInArrow(read, schema)
+
+
+def file_hashes(spark: SparkSession, path: str) -> dict[str, str]:
+    """SHA-256 of each data file of a folder, by name, taken where the files are read. The driver gets a row for each file."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return {r[0].rsplit("/", 1)[-1]: r[1] for r in rows.select("path", F.sha2("content", 256)).collect()}
+
+
+def rows_by_file(df: DataFrame) -> dict[str, int]:
+    """Rows of each file that df reads, by name."""
+    return {r[0].rsplit("/", 1)[-1]: r[1] for r in df.groupBy(F.input_file_name()).count().collect()}
+
+
+def manifest(table: str, rows: int, seed: int, digest: dict, form: str, schema: str, hashes: dict[str, str] | None = None, counts: dict[str, int] | None = None) -> dict:
+    """What a written table is: its size, seed, schema and column digests (larkspur.digest), and each file's hash and rows."""
+    listed = [{"name": n, "sha256": h, "rows": (counts or {}).get(n)} for n, h in sorted((hashes or {}).items())]
+    return {"table": table, "rows": rows, "seed": seed, "format": form, "schema": schema, "columns": {k: {"sum": f"{s:016x}", "nulls": n} for k, (s, n) in digest.items()}, "files": listed}

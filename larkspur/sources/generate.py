@@ -16,6 +16,7 @@ from larkspur.functions.scalar import from_micros, price
 from larkspur.functions.wrapping import Streams, skewed, unit, unsigned_mod, wrapping
 from larkspur.sources import vocabulary as V
 
+# Seed, table numbers, sizes and limits of the generated tables.
 SEED = 0x5EED1B20
 TABLES = {"sales_fact": 1, "dim_customer": 2, "dim_product": 3, "events_log": 4, "wide_numeric": 5}
 STORES, EDGE_EVERY, WIDE_LIMIT = 5000, 1000, 100_000_000
@@ -45,7 +46,10 @@ def label_of(n: int) -> str:
 
 @dataclass(frozen=True)
 class Scale:
+    """Rows of the fact tables; wide_numeric stops at WIDE_LIMIT rows unless large_wide is set."""
+
     rows: int
+    large_wide: bool = False
 
     @property
     def customers(self) -> int:
@@ -60,7 +64,7 @@ class Scale:
         return max(self.rows // 100, 10)
 
     def table_rows(self, table: str) -> int:
-        return {"dim_customer": self.customers, "dim_product": self.products, "wide_numeric": min(self.rows, WIDE_LIMIT)}.get(table, self.rows)
+        return {"dim_customer": self.customers, "dim_product": self.products, "wide_numeric": self.rows if self.large_wide else min(self.rows, WIDE_LIMIT)}.get(table, self.rows)
 
 
 def estimated_bytes(table: str, scale: Scale, form: str = "parquet") -> int:
@@ -206,7 +210,7 @@ def events_log(spark: SparkSession, scale: Scale, seed: int = SEED, first: int =
 def wide_numeric(spark: SparkSession, scale: Scale, seed: int = SEED, first: int = 0, count: int | None = None, chunk_rows: int = 250_000, **_) -> DataFrame:
     with wrapping(spark):
         streams, i = Streams(seed, TABLES["wide_numeric"]), F.col("id")
-        d = _rows(spark, min(scale.rows, WIDE_LIMIT), first, count, chunk_rows)
+        d = _rows(spark, scale.table_rows("wide_numeric"), first, count, chunk_rows)
         floats = [unit(streams.value(c, i)).alias(f"f{c:03d}") for c in range(100)]
         ints = [unsigned_mod(streams.value(100 + c, i), 1_000_000_007).alias(f"i{c:02d}") for c in range(20)]
         return d.select((i + 1).alias("id"), *floats, *ints)

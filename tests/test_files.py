@@ -79,3 +79,23 @@ def test_a_folder_is_made_only_where_none_is_named(spark, monkeypatch):
         raise AssertionError
     except RuntimeError:
         pass
+
+
+def test_line_ends_within_csv_fields(spark):
+    rows = [(1, "two\nlines"), (2, 'a "quoted"\r\nend'), (3, None), (4, "")]
+    path = table_path(spark, "csv")
+    files.write_csv(spark.createDataFrame(rows, "a bigint, b string"), path)
+    assert sorted(map(tuple, files.read_csv(spark, path, "a bigint, b string").collect())) == rows
+
+
+def test_arrow_files_round_trip(spark, tmp_path):
+    frame = g.sales_fact(spark, g.Scale(1000)).repartition(3)
+    files.write_arrow(frame, (tmp_path / "a").as_uri())
+    assert len(list((tmp_path / "a").glob("*.arrow"))) == 3
+    back = files.read_arrow(spark, (tmp_path / "a").as_uri(), files.SCHEMAS["sales_fact"])
+    assert digest.column_digests(back) == digest.column_digests(frame)
+
+
+def test_wide_rows_past_the_limit_on_demand(monkeypatch):
+    monkeypatch.setattr(g, "WIDE_LIMIT", 10)
+    assert g.Scale(50).table_rows("wide_numeric") == 10 and g.Scale(50, large_wide=True).table_rows("wide_numeric") == 50

@@ -42,6 +42,25 @@ def test_folded_chunks(spark):
     assert got.first() == S.distinct_count(chunks.framed(g.sales_fact(spark, SCALE))).first()
 
 
+def test_changed_files_do_not_verify(spark, tmp_path):
+    for form in ("parquet", "csv", "arrow"):
+        made = runner.generate(spark, "dim_product", SCALE, str(tmp_path), form)
+        assert made["files"] and all(f["rows"] is None or f["rows"] > 0 for f in made["files"])
+        assert runner.verify(spark, "dim_product", SCALE, str(tmp_path), form)
+    one = next(tmp_path.glob("dim_product/*/csv/part-*"))
+    one.write_bytes(one.read_bytes().replace(b"brand_", b"bland_", 1))
+    for crc in one.parent.glob(".*.crc"):
+        crc.unlink()
+    assert not runner.verify(spark, "dim_product", SCALE, str(tmp_path), "csv")
+
+
+def test_records_have_a_form():
+    with pytest.raises(ValueError):
+        runner.valid({"status": "n/a"})
+    with pytest.raises(ValueError):
+        runner.valid({"status": "n/a", "skip_reason": "x", "unheard": 1})
+
+
 def test_late_and_repeated_events(spark):
     path = table_path(spark, "events")
     files.write_parquet(g.events_log(spark, SCALE), path)

@@ -101,3 +101,23 @@ def test_json_and_time(spark):
     assert collected(E.json_extract(df, "kind", "j", "$.k")) == [("a", 5, 1, 2), ("b", None, 0, 1)]
     ts = spark.createDataFrame([(datetime.datetime(1969, 12, 31, 23, 30),)], "ts timestamp_ntz")
     assert tuple(E.datetime_arithmetic(ts, "ts").first()) == (-3_600_000_000, -1, 0, 1)
+
+
+def test_window_running_sum_wraps_and_keeps_null_days(spark):
+    t = [datetime.datetime(2020, 1, d) for d in (1, 2)]
+    rows = [(1, 1, t[0], 5), (1, 2, t[0], None), (1, 3, t[1], 7), (2, 4, t[1], -3), (2, 5, None, 1), (None, 6, t[0], 2), (3, 7, t[0], 2**62), (3, 8, t[0], 2**61), (3, 9, t[1], 1)]
+    df = spark.createDataFrame(rows, "customer_id bigint, transaction_id bigint, transaction_timestamp timestamp_ntz, cents bigint")
+    got = {r.customer_id: (r.last_running_cents, int(r.sum_running_mod_2_64)) for r in S.window_running_sum(df).collect()}
+    assert got == {1: (12, 5 + 5 + 12), 2: (-2, (1 - 2) % 2**64), None: (2, 2), 3: (2**62 + 2**61 + 1, (2**62 + 2 * (2**62 + 2**61) + 1) % 2**64)}
+
+
+def test_latest_by_id_and_payloads(spark):
+    t = [datetime.datetime(2020, 1, d) for d in (1, 2)]
+    rows = [(1, t[0], "b", 10), (1, t[1], "z", 11), (1, t[1], "c", 12), (2, None, "x", 13), (None, t[0], "n", 14)]
+    df = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, session_id string, user_id bigint")
+    assert collected(E.latest_by_id(df)) == sorted([(1, t[1], "c", 12), (2, None, "x", 13)], key=str)
+    rows = [("Click", '{"user":{"id":7},"action":"Click","amount":30}'), ("Click", '{"user":{"id":1},"action":"é"}'), ("Buy", None)]
+    df = spark.createDataFrame(rows, "event_type string, payload_json string")
+    assert collected(E.payload_json(df)) == sorted([("Click", 8, 30, 2), ("Buy", None, None, 1)], key=str)
+    parts = [p.lower()[2:42].encode() for _, p in rows[:2]]
+    assert collected(E.payload_strings(df)) == sorted([("Click", 1, sum(map(len, parts)), 2, 2), ("Buy", 0, None, None, 1)], key=str)

@@ -106,3 +106,87 @@ distribution."""
     got = {r.doc_id: r for r in c.license_scan(docs([(i, f"{n}\n{bsd}") for i, n in enumerate(notices)])).collect()}
     for r in got.values():
         assert r.sentence_ids == ["mit-notice", "bsd-source", "bsd-binary"] and r.licenses == ["BSD-2-Clause", "MIT"]
+
+
+APACHE = """# Copyright 2020 Some Body
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+LESSER = """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+ *
+ * This library is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+ * Lesser General Public License for more details."""
+MOZILLA = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+BSD = """BSD 3-Clause License
+
+Copyright (c) 2020, Some Body
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+ISC = """ISC License
+
+Copyright (c) 2020 Some Body
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES."""
+GPL_TITLE = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>"""
+
+
+def test_more_unaltered_files(docs):
+    texts = {"Apache-2.0:header": APACHE, "LGPL-2.1:header": LESSER, "MPL-2.0:header": MOZILLA, "BSD-3-Clause:full-text": BSD, "ISC:full-text": ISC, "GPL-3.0:title": GPL_TITLE}
+    got = {r.doc_id: r.matches for r in c.license_scan(docs(list(enumerate(texts.values())))).collect()}
+    for i, wanted in enumerate(texts):
+        assert any(m.startswith(wanted + ":") for m in got[i]), (wanted, got[i])
+        assert {m.split(":")[0] for m in got[i]} <= {wanted.split(":")[0], "BSD-2-Clause"}
+
+
+def test_expressions_of_spdx_lines(docs):
+    rows = [
+        (1, "# SPDX-License-Identifier: MIT OR Apache-2.0"),
+        (2, "// SPDX-License-Identifier: (BSD-3-Clause AND LGPL-2.1-or-later) OR MPL-2.0\nint x;"),
+        (3, "/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */"),
+        (4, "SPDX-License-Identifier: Unheard-1.0 OR ISC\nthis or that"),
+        (5, "MIT OR Apache-2.0"),
+    ]
+    got = {r.doc_id: r.licenses for r in c.license_scan(docs(rows)).collect()}
+    assert got == {1: ["Apache-2.0", "MIT"], 2: ["BSD-3-Clause", "LGPL-2.1", "MPL-2.0"], 3: ["GPL-2.0"], 4: ["ISC"], 5: []}
+
+
+def test_many_lines(docs):
+    """A text of 200,000 lines with a licence in its middle."""
+    text = "some line of text\n" * 100_000 + MIT_FILE + "\nanother line" * 100_000
+    assert [r.licenses for r in c.license_scan(docs([(1, text)])).collect()] == [["MIT"]]

@@ -28,6 +28,9 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"  # the runs AKIA[A-Z0-9]+ of 20 and more character
 HEX = r"[0-9a-f]{24,}"  # the runs [0-9a-f]+ of 24 and more characters
 KINDS = ("assign", "access", "hex", "random")
 
+#: Matches of a text whose places are added up together.
+CHUNK = 128
+
 #: What the battery looks at: runs of at least 20 code-like characters.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 
@@ -53,18 +56,33 @@ def spans(text: Column, pattern: str, kind: str, keep: Column | None = None) ->
     """Leftmost non-overlapping matches of pattern as structs (start, end, kind), in code points.
 
     split() cuts at the very matches that regexp_extract_all() returns, so lengths of pieces and matches add up to
-    positions. keep: a boolean array, one for each match; the others are dropped.
+    positions; they are added up in chunks of CHUNK matches, and over chunks, so that no long array is copied for each match.
+    keep: a boolean array, one for each match; the others are dropped.
     """
     pieces, hits = F.split(text, pattern, -1), found(text, pattern)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    pairs = F.zip_with(pieces, hits, lambda a, b: F.struct(F.char_length(a).alias("gap"), F.char_length(b).alias("size")))
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), hits, lambda a, b: F.struct(F.char_length(a).alias("gap"), F.char_length(b).alias("size")))
+
+    def chunked(pairs: Column) -> Column:
+        """Chunks, each with the text's length before it."""
+        chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(pairs) / CHUNK).cast("int") - 1), lambda i: F.slice(pairs, i * CHUNK + 1, F.lit(CHUNK)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,pairs:array<struct<gap:int,size:int>>>>").alias("out"))
+
+        def step(acc: Column, c: Column) -> Column:
+            length = F.aggregate(c, F.lit(0), lambda n, x: n + x["gap"] + x["size"])
+            return F.struct((acc["at"] + length).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), c.alias("pairs")))).alias("out"))
+
+        return F.aggregate(chunks, start, step, lambda acc: acc["out"])
+
+    def placed(chunk: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            begin = acc["at"] + x["gap"]
+            one = F.struct(begin.alias("start"), (begin + x["size"]).alias("end"))
+            return F.struct((begin + x["size"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        one = F.struct(begin.alias("start"), (begin + x["size"]).alias("end"))
-        return F.struct((begin + F.coalesce(x["size"], F.lit(0))).alias("at"), F.when(x["size"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
+        return F.aggregate(chunk["pairs"], F.struct(chunk["at"].alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
 
-    out = F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    out = F.flatten(F.transform(chunked(pairs), placed))
     if keep is not None:
         out = F.transform(F.filter(F.arrays_zip(out.alias("s"), keep.alias("k")), lambda x: x["k"]), lambda x: x["s"])
     out = F.transform(out, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(KINDS.index(kind)).alias("kind")))
@@ -171,13 +189,13 @@ def discoveries(counts: DataFrame, q: float) -> DataFrame:
     return rows.groupBy("band").agg(F.min("bin").alias("least_bin"))
 
 
-def secret_scan(docs: DataFrame, q: float = 0.01) -> DataFrame:
+def secret_scan(docs: DataFrame, q: float = 0.05) -> DataFrame:
     """One row per row of docs: doc_id, base and spans, both arrays of (start, end, kind) by start, then kind.
 
     base holds the fixed kinds, spans those and the runs that the battery declares random at false-discovery rate q and
     that overlap no base span. Offsets are code points, end exclusive; kind indexes KINDS. A null text counts as empty;
-    other columns and clashing names are ignored; rows that repeat a doc_id are scanned one by one. Whole texts are
-    scanned in one pass; only counts of p-values by length band move, and their thresholds (one row for each of the
+    other columns and clashing names are ignored; rows that repeat a doc_id are scanned one by one; an empty table gives an
+    empty result. Whole texts of any length are scanned in one pass; only counts of p-values by length band move, and their thresholds (one row for each of the
     fixed bands) come back by broadcast.
     """
     text = F.coalesce("text", F.lit(""))

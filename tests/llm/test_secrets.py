@@ -84,3 +84,21 @@ def test_short_keys_among_many_names(docs):
     print(recall, sum(got[i] for i in names))
     assert recall[20, 23] >= 0.3 and recall[24, 31] >= 0.7 and recall[32, 47] >= 0.9
     assert sum(got[i] for i in names) <= 2
+
+
+def test_a_text_with_very_many_matches(docs):
+    text = " ".join(f"token={i:06d}x" for i in range(60_000)) + " é " + HEX
+    got = s.secret_scan(docs([(1, text)])).first()
+    assert spans(got.base) == base(text)
+
+
+def test_recall_where_most_candidates_are_keys(docs):
+    """Forty random keys of each length, of letters and digits."""
+    rng = random.Random(9)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    sizes = (20, 24, 32, 40, 64)
+    rows = [(1000 * n + i, "see " + "".join(rng.choice(alphabet) for _ in range(n)) + " here") for n in sizes for i in range(40)]
+    got = {r.doc_id: any(x.kind == 3 for x in r.spans) for r in s.secret_scan(docs(rows)).collect()}
+    recall = {n: sum(got[1000 * n + i] for i in range(40)) / 40 for n in sizes}
+    print(recall)
+    assert all(v >= 0.9 for v in recall.values())

@@ -9,13 +9,17 @@ from larkspur.llm.common import written
 
 
 def _starred(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over edges (a, b), a > b: each node's larger (or smaller) neighbours go to its smallest neighbour."""
+    """One star step over edges (a, b), a > b: each node's larger (or smaller) neighbours go to its smallest neighbour.
+
+    The smallest neighbours are written, so that both sides of the join are plain and AQE can split a node with very many.
+    """
     if large:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("w")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("w")))
         least = both.groupBy("u").agg(F.min("w").alias("m")).select("u", F.least("m", "u").alias("m"))
+        least = written(least, "least")
         out = both.where("w > u").join(least.hint("merge"), "u").select(F.col("w").alias("a"), F.col("m").alias("b"))
     else:
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
         out = edges.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         out = out.union(least.select("a", F.col("m").alias("b")))
     return out.where("a > b").distinct()

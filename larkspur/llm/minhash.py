@@ -17,14 +17,13 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur.llm.blocks import Numbers
 from larkspur.llm.common import key_bits, maybe_in, trimmed, written
 from larkspur.llm.graph import components
 
-#: Classes of a bucket that are compared exhaustively in one task with those of one other chunk.
+#: Classes of a bucket that are compared exhaustively in one task with those of one other chunk, on average.
 CHUNK = 256
 
 #: Shingles whose signatures are computed together.
@@ -195,7 +194,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, hashes:
     Documents are linked when 100 * |intersection| >= percent * |union| of their shingle sets; component_id is the
     smallest doc_id reachable over links, kept marks the document that is its own component. Texts without words are
     linked with nothing. Rows that repeat a doc_id are the same document; rows without a doc_id are linked with nothing
-    and are kept with a null component_id. Other columns are ignored.
+    and are kept with a null component_id. Texts of any length are one set; other columns are ignored; an empty table gives
+    an empty result.
 
     With 60 hashes in bands of 5 there are 24 bands: a pair at 80 % is missed with probability 0.00007, one at 85 % with
     less than 0.000001.
@@ -225,8 +225,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, hashes:
     now = written(now, "now")
     split = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("v")).alias("h1"), F.sum(F.pmod(F.xxhash64(F.lit(1), F.col("v")), F.lit(1 << 40))).alias("h2")).where("low < high and size > 2")
     split = written(split.groupBy("size", "h1", "h2").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), "split")
-    rest = now.join(split.hint("merge"), "bucket").withColumn("chunk", F.floor((F.row_number().over(W.partitionBy("bucket").orderBy("rep", "v")) - 1) / CHUNK).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / CHUNK).cast("int"))))
+    # chunks by hash: no bucket is sorted in one task
+    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    rest = now.join(split.hint("merge"), "bucket").withColumn("chunk", F.pmod(F.xxhash64("v"), chunks).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     rest = rest.select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "v", "rep", "component").join(sets.hint("merge"), "v")
     more = written(rest.groupBy("bucket", "i", "j").applyInPandas(compared(percent), "a long, b long"), "more")
     if not more.isEmpty():

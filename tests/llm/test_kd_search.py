@@ -54,9 +54,28 @@ def test_empty(spark):
 
 def test_tree_boxes_are_tight():
     rng = np.random.default_rng(1)
-    v = rng.integers(-50, 50, (1000, 5))
-    tree = k.build(np.arange(1000), v, 16)
-    for i in range(len(tree.low)):
-        part = tree.vectors[tree.starts[i] : tree.starts[i + 1]]
-        assert (part.min(axis=0) == tree.low[i]).all() and (part.max(axis=0) == tree.high[i]).all() and len(part) <= 16
-    assert sorted(tree.ids.tolist()) == list(range(1000))
+    points = np.concatenate([rng.integers(-50, 50, (500, 5)), np.full((200, 5), 7)])
+    tree = k.build(np.arange(700), points, 16)
+    assert sorted(tree.ids.tolist()) == list(range(700)) and (tree.vectors == points[tree.ids]).all()
+    for i in range(len(tree.left)):
+        part = tree.vectors[tree.first[i] : tree.last[i]]
+        assert (part.min(axis=0) == tree.low[i]).all() and (part.max(axis=0) == tree.high[i]).all()
+        if tree.left[i] >= 0:
+            j = tree.left[i]
+            assert (tree.first[j], tree.last[j + 1]) == (tree.first[i], tree.last[i]) and tree.last[j] == tree.first[j + 1]
+        else:
+            assert len(part) <= 16 or (part == part[0]).all()
+
+
+def test_traversal_leaves_nodes_out():
+    """Points along an axis: a query opens the nodes at its end only."""
+    points = np.stack([np.arange(4096), np.zeros(4096, np.int64)], axis=1)
+    tree = k.build(np.arange(4096), points, 16)
+    seen = []
+    improve = k._improve
+    try:
+        k._improve = lambda rows, own, *rest: (seen.append(own), improve(rows, own, *rest))
+        _, names, _ = k.search(tree, np.array([-1]), np.array([[3, 1]]), 10, np.array([np.iinfo(np.int64).min]), False)
+    finally:
+        k._improve = improve
+    assert names.tolist() == list(range(4095, 4085, -1)) and len(seen) <= 2 < sum(tree.left < 0)

@@ -215,7 +215,8 @@ def sample_windows(docs: DataFrame, learn: Column, sample_docs: int, per_doc: in
     chosen = [r[0] for r in keys.collect()]
     if not chosen:
         return []
-    rows = rows.where(F.col("order").isin(chosen)).dropDuplicates(["order", "lang"]).select("order", "text", "lang")
+    # of rows that repeat an id and length the smallest text, so that reruns agree
+    rows = rows.where(F.col("order").isin(chosen)).groupBy("order", "lang").agg(F.min("text").alias("text")).select("order", "text", "lang")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,7 +268,8 @@ def identify(docs: DataFrame, learn: Column, **options) -> DataFrame:
     The network learns from text and non-null lang of the rows that learn marks, at most about sample_docs of them
     (4 of each language at least) with per_doc windows each; whole texts are labelled. lang_pred is the language with
     the largest pooled probability, the score; `und` with score 0 where the text is null or has no letter, or where
-    there was nothing to learn from. Ties go to the first language in code-point order. Other columns are ignored.
+    there was nothing to learn from, and for empty texts. Ties go to the first language in code-point order. Rows that repeat
+    a doc_id are labelled one by one; other columns are ignored; an empty table gives an empty result.
     """
     return labelled(docs.select(F.col("doc_id").cast("long"), "text", "lang"), learn, **options).select("doc_id", "lang_pred", "score")
 

@@ -19,14 +19,27 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.3
 
 
+def _smallest(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row for each value of keys, the smallest by the other columns, so that reruns agree."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("one")).select(*[F.col(c) if c in keys else F.col(f"one.{c}") for c in rows.columns])
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognisable language: null texts, texts without letters, undecided ones."""
+    """Drops documents without a recognisable language: null texts, empty ones, texts without letters, undecided ones.
+
+    Texts of any length are read whole. Rows that repeat a doc_id are judged one by one; rows without one are like any
+    other. It learns from non-null lang only. An empty table gives an empty result, here and in all stages, and columns besides those of documents are left out.
+    """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     return language_id.kept(docs, ~held_out, LEAST_SCORE).select(*COLUMNS)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of equal texts, the one with the largest doc_id; of rows that repeat it, any one."""
+    """Keeps one row of each group of equal texts, the one with the largest doc_id; of rows that repeat it, the smallest by the other columns.
+
+    Null texts equal empty ones. A null doc_id loses against any other; rows without a doc_id whose text no other row has stay.
+    """
     verdicts = written(exact_dedup.exact_dedup(docs, keep="largest").select("doc_id", "text_sha256", "kept"), "verdicts")
     once = verdicts.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
     touched = once.where("not kept or rows > 1").select("doc_id", "text_sha256", "kept", F.xxhash64("doc_id", "text_sha256").alias("key"))
@@ -34,7 +47,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select(*COLUMNS, sha.alias("text_sha256")).withColumn("key", F.xxhash64("doc_id", "text_sha256"))
     rows = maybe_flag(rows, "key", key_bits(touched, "key"), "maybe")
     same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.text_sha256") == F.col("t.text_sha256"))
-    some = rows.where("maybe").dropDuplicates(["doc_id", "text_sha256"]).alias("d").join(touched.alias("t").hint("merge"), same, "left")
+    some = _smallest(rows.where("maybe"), "doc_id", "text_sha256").alias("d").join(touched.alias("t").hint("merge"), same, "left")
     some = some.where("t.kept is null or t.kept").select("d.*")
     return rows.where("not maybe").unionByName(some).select(*COLUMNS)
 
@@ -42,7 +55,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates (five words, similarity of 0.8 or more), the smallest doc_id.
 
-    Rows without a doc_id stay.
+    Rows without a doc_id stay, and so do null and empty texts; rows that repeat a doc_id are one document and stay or go together.
     """
     dropped = written(minhash.near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct(), "dropped")
     rows = maybe_flag(docs.select(*COLUMNS).withColumn("key", F.xxhash64("doc_id")), "key", key_bits(dropped.withColumn("key", F.xxhash64("doc_id")), "key"), "maybe")
@@ -51,17 +64,21 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and leaves out documents so that each source comes near its target share of words."""
+    """Repeats and leaves out documents so that each source comes near its target share of words.
+
+    Null and empty texts have no words and are left out; a null source is one source, the last; rows that repeat doc_id, source
+    and text are told apart only by the number of their copies.
+    """
     keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("key"))
     copies = mixing.mix(keyed, carry=("key", "source")).groupBy("doc_id", "source", "key").agg(F.sum("copies").alias("copies")).where("copies > 0")
     same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.key") == F.col("c.key"))
     # equal rows are one row here, with the copies of all
-    mixed = keyed.dropDuplicates(["doc_id", "source", "key"]).alias("d").join(copies.alias("c").hint("merge"), same).select("d.*", "c.copies")
+    mixed = _smallest(keyed, "doc_id", "source", "key").alias("d").join(copies.alias("c").hint("merge"), same).select("d.*", "c.copies")
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and the text decoded from them as a digest."""
+    """Token ids of each document, and the text decoded from them as a digest. Null and empty texts have no ids."""
     rows = bpe.decode(bpe.encode(docs, tokenizer_file()), tokenizer_file())
     return rows.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

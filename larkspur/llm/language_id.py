@@ -194,14 +194,36 @@ def as_windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
-    """(texts, languages): mean position probabilities over the whole of each text; zeros for an empty one."""
+    """(texts, languages): mean position probabilities over the whole of each text; zeros for an empty one.
+
+    Long texts go through in pieces of whole windows, so memory does not grow with them.
+    """
     sums = np.zeros((len(texts), len(net.languages)))
-    x, owner = as_windows(texts)
-    for a in range(0, len(x), BATCH):
-        part = np.ascontiguousarray(x[a : a + BATCH].T)
-        p = position_probabilities(net, part)
-        p *= (part != PAD)[:, None, :]
-        np.add.at(sums, owner[a : a + BATCH], p.sum(axis=0).T)
+    pieces: list[bytes] = []
+    owners: list[int] = []
+
+    def add() -> None:
+        x, piece = as_windows(pieces)
+        owner = np.array(owners)[piece]
+        for a in range(0, len(x), BATCH):
+            part = np.ascontiguousarray(x[a : a + BATCH].T)
+            p = position_probabilities(net, part)
+            p *= (part != PAD)[:, None, :]
+            np.add.at(sums, owner[a : a + BATCH], p.sum(axis=0).T)
+        pieces.clear()
+        owners.clear()
+
+    used = 0
+    for i, text in enumerate(texts):
+        for a in range(0, len(text), BATCH * WINDOW):
+            pieces.append(text[a : a + BATCH * WINDOW])
+            owners.append(i)
+            used += -(-len(pieces[-1]) // WINDOW)
+            if used >= BATCH:
+                add()
+                used = 0
+    if pieces:
+        add()
     return sums / np.maximum([[len(t)] for t in texts], 1)
 
 

@@ -63,3 +63,18 @@ def test_odd_rows(docs):
 def test_nothing_to_learn_from(docs):
     assert [(r.lang_pred, r.score) for r in g.identify(docs([(1, "text")]), F.lit(True)).collect()] == [("und", 0.0)]
     assert g.identify(docs([]), F.lit(True)).count() == 0
+
+
+def test_long_texts_in_pieces():
+    """Pieces change nothing: windows start anew at each multiple of their size anyway."""
+    net = g.fresh(["a", "b", "c"], 4, 1)
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(32, 126, n, dtype=np.uint8).tobytes() for n in (0, 5, g.WINDOW, 3000, 2 * g.BATCH * g.WINDOW + 77, 40)]
+    got = g.pooled(net, texts)
+    for text, p in zip(texts, got):
+        x, _ = g.as_windows([text])
+        wanted = np.zeros(3)
+        for a in range(0, len(x), 1000):
+            part = np.ascontiguousarray(x[a : a + 1000].T)
+            wanted += (g.position_probabilities(net, part) * (part != g.PAD)[:, None, :]).sum(axis=(0, 2))
+        assert np.allclose(p, wanted / max(len(text), 1), atol=1e-5)

@@ -1,7 +1,7 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 The root is the smoothed word distribution. A context of up to `depth` words is a candidate if it occurs at least `least`
-times in the training text, a fixed count, so the tree grows with the corpus; likewise a context's own distribution names
+times in the training text, a fixed count, so the tree grows with the corpus (where so few can't pass the test below, one more); likewise a context's own distribution names
 the symbols that follow it at least that often and leaves the rest of its mass to its suffix. A candidate becomes a state
 if its distribution diverges from its suffix's: its count times the divergence must pass a
 multiple of the logarithm of the corpus size. A token is scored in the state of the longest suffix of its past that is one.
@@ -44,6 +44,18 @@ class Rule:
     strictness: float
     tokens: int
 
+    @property
+    def fewest(self) -> int:
+        """Occurrences from which on a context may be a state.
+
+        One that occurs `least` times has at most one entry, with all of them. The entry is one of the suffix's too, so it
+        has a probability of (least - discount) / tokens there or more, which bounds the divergence. Whatever begins with
+        such a context occurs no more often, so nothing is lost by leaving both out.
+        """
+        tokens = max(self.tokens, 2)
+        never = self.least * np.log(1.01 * tokens / max(self.least - self.discount, 1e-9)) <= self.strictness * np.log(tokens)
+        return self.least + 1 if never else self.least
+
     def states(self, gain: np.ndarray, covered: np.ndarray, likely: np.ndarray, total: np.ndarray) -> np.ndarray:
         """Which contexts are states, from sums over their entries: see shares(). Contexts without entries are none."""
         rest = total - covered
@@ -125,9 +137,10 @@ class Block:
     total: np.ndarray
 
 
-def planted(symbol: np.ndarray, first: np.ndarray, train: np.ndarray, word: np.ndarray, total: np.ndarray, end: int, p: np.ndarray) -> Block:
+def planted(symbol: np.ndarray, first: np.ndarray, train: np.ndarray, word: np.ndarray, total: np.ndarray, end: int, p: np.ndarray, fewest: int) -> Block:
     """A block with the root alone: the past of a text's first token is the end token, contexts don't cross texts."""
     context = np.where(first, end, np.concatenate([[end], symbol[:-1]])) if len(symbol) else symbol
+    context = np.where((context >= 0) & (total[context] >= fewest), context, -1)
     return Block(symbol, first, train, word, p, context, mixed(word, np.zeros(len(word), np.uint64)), total)
 
 
@@ -251,7 +264,7 @@ def deepened(block: Block, q: Question, replies: dict[int, tuple[np.ndarray, np.
     inside = state[c]
     t, c, n = q.on[inside], c[inside], n[inside]
     block.p[t] = (np.where(n > 0, n - rule.discount, 0.0) + (block.total[c] - kept[c]) * block.p[t]) / block.total[c]
-    entry = counts > 0
+    entry = counts >= rule.fewest
     number = np.where(entry, np.cumsum(entry) - 1, -1)
     after = np.full(len(block.symbol), -1, np.int64)
     after[q.on] = number[q.code]
@@ -340,7 +353,7 @@ def lm_score(docs: DataFrame, train, depth: int = 3, least: int = 2, discount: f
                 first[starts[:-1]] = True
                 marks = batch[2][i].values.to_numpy(zero_copy_only=False).astype(bool)
                 symbol = np.where(word >= 0, np.arange(len(word)), -1)[at]
-                block = planted(symbol, first, np.repeat(marks, sizes), word.view(np.uint64), c, int(np.flatnonzero(word == end)[0]), ((c + 0.5) / 10.0**base)[at])
+                block = planted(symbol, first, np.repeat(marks, sizes), word.view(np.uint64), c, int(np.flatnonzero(word == end)[0]), ((c + 0.5) / 10.0**base)[at], rule.fewest)
                 for d in range(depths):
                     replies = {x["part"]: (loose(x["counts"], "<i8"), loose(x["verdicts"], "u1"), loose(x["sums"], "<f8").reshape(4, -1).T) for x in batch[6 + d][i].as_py() or []}
                     deepened(block, question(block, parts_, split), replies, rule)

@@ -94,12 +94,12 @@ def corpus():
     return rows + [(100, None), (101, ""), (102, "unheard words the cat sat"), (103, "the " * 300), (None, lines[0]), (5, lines[1])]
 
 
-@pytest.mark.parametrize("split", [1 << 23, 20])
-def test_scores_against_brute_force(docs, split):
-    """Also where the followers of most contexts are dealt to several parts."""
+@pytest.mark.parametrize("split, strictness", [(1 << 23, 0.5), (20, 0.5), (1 << 23, 2.0), (1 << 23, 1.9)])
+def test_scores_against_brute_force(docs, split, strictness):
+    """Also where the followers of most contexts are dealt to several parts, and where contexts of two occurrences are left out."""
     rows = corpus()
-    got = lm.lm_score(docs(rows), F.coalesce(F.col("doc_id") % 4 != 1, F.lit(True)), strictness=0.5, split=split).collect()
-    wanted, sums = brute(rows, lambda d: d is None or d % 4 != 1, strictness=0.5)
+    got = lm.lm_score(docs(rows), F.coalesce(F.col("doc_id") % 4 != 1, F.lit(True)), strictness=strictness, split=split).collect()
+    wanted, sums = brute(rows, lambda d: d is None or d % 4 != 1, strictness=strictness)
     assert max(abs(x - 1) for x in sums) < 1e-9
     assert sorted((str(d), round(x, 5)) for (d, _), x in zip(rows, wanted)) == sorted((str(r.doc_id), round(r.score, 5)) for r in got)
     assert sum(r.score > r.base_score + 3 for r in got) > 50

@@ -79,6 +79,27 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_language_id, op4_minhash, op5_license_scan, op6_bpe, op7_kd_top_k, op8_suffix_tree_lm, op9_mix_sources, op10_secret_scan, pipeline)}
 
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op8: its columns but the model's score, the base score rounded."""
+    return op8_suffix_tree_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op9: sizes and targets, and that each source's words come near its target and no document past three times its size."""
+    rows = op9_mix_sources(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    taken = rows.join(docs, "doc_id").groupBy("source").agg(F.sum("taken").alias("words"), F.max("target").alias("target"), F.max("size").alias("longest"))
+    near = taken.select(F.col("source").alias("s"), (F.abs(F.col("words") - F.col("target")) <= F.greatest(F.col("longest"), F.lit(1))).alias("source_near_target"))
+    out = rows.join(docs, "doc_id").join(near, F.col("source").eqNullSafe(F.col("s")))
+    return out.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), (F.col("taken") <= 3 * F.col("size")).alias("within_three"), "source_near_target")
+
+
+#: Parts of operators' results that SQL can check where it can't check the whole.
+PARTS = {f.__name__: f for f in (lm_base_scores, mix_targets)}
+
+
 def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -111,6 +132,18 @@ def license_sql() -> str:
         select doc_id, array_to_string(ids, ',') as sentence_ids, array_to_string(licenses, ',') as licenses, array_to_string(matches, ',') as matches, cast(len(licenses) as bigint) as n_licenses from l"""
 
 
+_WORDS = "regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text in DuckDB, which has no such function: bit by bit, each byte taken in before its first bit."""
+    steps = f"list_transform(range(8 * length({text})), lambda i: case when i % 8 = 0 then cast(ascii({text}[i // 8 + 1]) as bigint) else 0 end)"
+    taken = "xor(c, b)"
+    bits = f"list_reduce(list_prepend(4294967295::bigint, {steps}), lambda c, b: case when ({taken} & 1) = 1 then xor({taken} >> 1, 3988292384) else {taken} >> 1 end)"
+    return f"xor({bits}, 4294967295)"
+
+
 ORACLE_SQL = {
     "op1_exact_dedup": """
         with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as body from documents)
@@ -136,4 +169,18 @@ ORACLE_SQL = {
                    from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
              r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
         select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10""",
+    "lm_base_scores": f"""
+        with t as (select row_number() over () as row, doc_id, coalesce({crc32_sql("cast(doc_id as varchar)")} % 5 = 1, false) as held_out, list_append({_WORDS.format(text=_LOWER)}, '') as w from documents),
+             x as (select row, held_out, unnest(w) as word from t),
+             c as (select word, count(*) as c from x where not held_out group by 1),
+             k as (select coalesce(sum(c), 0) as n, count(*) as v from c),
+             s as (select row, count(*) as n_tokens, count(c) as n_known, sum(log10((coalesce(c, 0) + 0.5::double) / (n + 0.5::double * (v + 1)))) as base_score, max(n) as n from x left join c using (word), k group by row)
+        select doc_id, held_out, n_tokens, n_known, cast(n as bigint) as train_tokens, round(base_score, 3) as base_score from t join s using (row)""",
+    "mix_targets": f"""
+        with t as (select doc_id, source, cast(len({_WORDS.format(text="coalesce(text, '')")}) as bigint) as size from documents),
+             p as (select source, cast(sum(size) as bigint) as source_size from t group by 1),
+             r as (select *, 3.0::double * source_size as cap, [1, 2, 3][(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as weight from p),
+             q as (select *, sum(source_size) over () as words, sum(weight) over () as weights, coalesce(sum(cap) over w, 0) as bound, coalesce(sum(weight) over w, 0) as used from r window w as (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding)),
+             l as (select max((words - bound) / (weights - used)) filter (where (words - bound) / (weights - used) * weight <= cap) as level from q)
+        select doc_id, size, source_size, round(least(cap, coalesce(level * weight, cap)), 3) as target, true as within_three, true as source_near_target from t join q on t.source is not distinct from q.source, l""",
 }

@@ -18,7 +18,7 @@ def duck(sf_dir):
 
 @pytest.mark.parametrize("name", list(q.ORACLE_SQL))
 def test_queries_equal_their_sql(spark, sf_dir, duck, name):
-    duck.register("got", q.QUERIES[name](spark, sf_dir).toArrow())
+    duck.register("got", (q.QUERIES | q.PARTS)[name](spark, sf_dir).toArrow())
     duck.sql(f"create or replace table wanted as {q.ORACLE_SQL[name]}")
     kinds = [dict(r[:2] for r in duck.sql(f"describe {t}").fetchall()) for t in ("wanted", "got")]
     assert kinds[0] == kinds[1]
@@ -40,3 +40,10 @@ def test_digest_columns_of_the_secret_scan(spark, sf_dir):
 def test_every_operator_has_its_query():
     assert [n for n in q.QUERIES if n != "pipeline"] == sorted((n for n in q.QUERIES if n != "pipeline"), key=lambda n: int(n[2:].split("_")[0]))
     assert {int(n[2:].split("_")[0]) for n in q.QUERIES if n != "pipeline"} == set(range(1, 11))
+
+
+def test_crc32_in_sql(duck):
+    import zlib
+
+    for text in ("0", "7", "12345678901", "-5"):
+        assert duck.sql(f"select {q.crc32_sql(repr(text))}").fetchall()[0][0] == zlib.crc32(text.encode())

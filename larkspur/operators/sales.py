@@ -102,7 +102,7 @@ def running_sum(sales: DataFrame) -> DataFrame:
 
 
 def _running(sales: DataFrame) -> DataFrame:
-    """Running cents of each customer by (timestamp, id).
+    """Running cents of each customer by (timestamp, id), and by cents where both repeat.
 
     A customer's days are summed first; a row's value is the total of the days before and the sum within its day, so the
     rows of a customer with a third of all sales are dealt by day and not sorted in one task.
@@ -111,16 +111,17 @@ def _running(sales: DataFrame) -> DataFrame:
     days = rows.groupBy("customer_id", "day").agg(total("cents").alias("of_day"))
     before = F.sum("of_day").over(Window.partitionBy("customer_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
     days = days.select(F.col("customer_id").alias("c"), F.col("day").alias("d"), F.coalesce(before, F.lit(0)).alias("before"))
-    within = F.sum("cents").over(Window.partitionBy("customer_id", "day").orderBy("transaction_timestamp", "transaction_id").rowsBetween(Window.unboundedPreceding, 0))
+    within = F.sum("cents").over(Window.partitionBy("customer_id", "day").orderBy("transaction_timestamp", "transaction_id", "cents").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("within", within).join(days, F.col("customer_id").eqNullSafe(F.col("c")) & F.col("day").eqNullSafe(F.col("d")))
     # where a day has only NULLs so far the value is that of the days before
-    return rows.select("customer_id", "transaction_id", "transaction_timestamp", (F.col("before") + F.coalesce("within", F.lit(0))).cast("bigint").alias("running_cents"))
+    return rows.select("customer_id", "transaction_id", "cents", (F.col("before") + F.coalesce("within", F.lit(0))).cast("bigint").alias("running_cents"))
 
 
 def window_running_sum(sales: DataFrame) -> DataFrame:
     """Each customer's last running value, and the sum of all its running values modulo 2**64."""
     with wrapping(sales.sparkSession):
-        out = _running(sales).groupBy("customer_id").agg(F.max_by("running_cents", F.struct("transaction_timestamp", "transaction_id")).alias("last_running_cents"), F.sum("running_cents").alias("wrapped"))
+        # the last running value is that of all rows, also where the last (timestamp, id) repeats
+        out = _running(sales).groupBy("customer_id").agg(F.coalesce(total("cents"), F.lit(0)).alias("last_running_cents"), F.sum("running_cents").alias("wrapped"))
         return out.select("customer_id", "last_running_cents", unsigned(F.col("wrapped")).alias("sum_running_mod_2_64"))
 
 

@@ -264,8 +264,8 @@ ORACLE_SQL = {
         select min_by(id, rn) as first_id, max_by(id, rn) as last_id, cast(sum(cast(rn as decimal(19,0)) * cast(id as decimal(19,0))) % 18446744073709551616::hugeint as decimal(20,0)) as positional_sum_mod_2_64 from o""",
     "OP09_top_n": f"with sales as ({SALES}), t as (select customer_id, cast(sum(cents) as bigint) as sum_price_cents from sales group by 1 order by 2 desc, 1 limit 100) select row_number() over (order by sum_price_cents desc, customer_id) as rank, customer_id, sum_price_cents from t",
     "OP10_distinct_count": f"with sales as ({SALES}) select count(distinct customer_id) as distinct_customers, count(distinct product_id) as distinct_products, (select count(*) from (select distinct store_id, transaction_date from sales)) as distinct_store_days from sales",
-    "OP11_window_running_sum": f"""with sales as ({SALES}), r as (select customer_id, transaction_timestamp as t, transaction_id as id, cast(sum(cents) over (partition by customer_id order by transaction_timestamp, transaction_id rows between unbounded preceding and current row) as bigint) as running from sales)
-        select customer_id, max_by(running, {{'t': t, 'id': id}}) as last_running_cents, cast(((sum(running::hugeint) % 18446744073709551616::hugeint) + 18446744073709551616::hugeint) % 18446744073709551616::hugeint as decimal(20,0)) as sum_running_mod_2_64 from r group by 1""",
+    "OP11_window_running_sum": f"""with sales as ({SALES}), r as (select customer_id, cast(sum(cents) over (partition by customer_id order by transaction_timestamp, transaction_id, cents rows between unbounded preceding and current row) as bigint) as running, cents from sales)
+        select customer_id, cast(sum(cents) as bigint) as last_running_cents, cast(((sum(running::hugeint) % 18446744073709551616::hugeint) + 18446744073709551616::hugeint) % 18446744073709551616::hugeint as decimal(20,0)) as sum_running_mod_2_64 from r group by 1""",
     "OP11_window_running_sum_events": "select user_id, event_id, cast(sum(cast(round(value * 100) as bigint)) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as bigint) as running_cents from events",
     "OP12_deduplicate": "select event_id, ts, user_id, event_type from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as rn from events) where rn = 1",
     "OP12_deduplicate_by_event": "with e as (select event_id % 700 as event_id, ts, 's' || event_id as session_id, user_id from events) select * exclude (rn) from (select *, row_number() over (partition by event_id order by ts desc, session_id) as rn from e) where rn = 1",

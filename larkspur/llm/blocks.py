@@ -131,7 +131,7 @@ def dealt(blocks: DataFrame, parts: int) -> DataFrame:
                 columns = [
                     pa.array(some, pa.int32()),
                     pa.array([batch[0][i].as_py()] * len(some), pa.int64()),
-                    pa.array([packed(x) for x in own], pa.binary()),
+                    pa.array([packed(np.diff(x, prepend=0)) for x in own], pa.binary()),  # rising numbers, as differences
                     pa.array([press(x.as_buffer()) for x in joined], pa.binary()),
                     pa.array([packed(counts[x]) for x in own], pa.binary()),
                 ]

@@ -113,7 +113,8 @@ def encode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
             for i in range(batch.num_rows):
                 sizes = np.asarray(batch[1][i].values, np.int64)
                 at, starts = unpacked(batch[2][i].as_py()), by_document(sizes)
-                nos, lengths, flat = (np.concatenate([np.zeros(0, np.int64), *(unpacked(x[k]) for x in batch[3][i].as_py() or [])]) for k in ("nos", "lengths", "ids"))
+                found = batch[3][i].as_py() or []
+                nos, lengths, flat = (np.concatenate([np.zeros(0, np.int64), *(step(unpacked(x[k])) for x in found)]) for k, step in (("nos", np.cumsum), ("lengths", np.asarray), ("ids", np.asarray)))
                 begin, size = np.zeros(len(nos), np.int64), np.zeros(len(nos), np.int64)
                 begin[nos], size[nos] = np.cumsum(lengths) - lengths, lengths
                 flat = flat.astype(np.int32)

@@ -35,6 +35,10 @@ from larkspur.storage import remove, table_path
 END = b""
 
 
+#: Text in a block: larger ones hold fewer (context, word) pairs in all.
+BLOCK = 9 << 20
+
+
 @dataclass(frozen=True)
 class Rule:
     """What makes an entry and a state."""
@@ -53,7 +57,7 @@ class Rule:
         such a context occurs no more often, so nothing is lost by leaving both out.
         """
         tokens = max(self.tokens, 2)
-        never = self.least * np.log(1.01 * tokens / max(self.least - self.discount, 1e-9)) <= self.strictness * np.log(tokens)
+        never = self.least * np.log(1.04 * tokens / max(self.least - self.discount, 1e-9)) <= self.strictness * np.log(tokens)
         return self.least + 1 if never else self.least
 
     def states(self, gain: np.ndarray, covered: np.ndarray, likely: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -114,8 +118,8 @@ def ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def coarse(p: np.ndarray) -> np.ndarray:
-    """Probabilities as floats of 8 bits, enough to tell how far distributions diverge."""
-    return ((p.astype("<f4").view("<u4") + np.uint32(0x8000)) & np.uint32(0xFFFF0000)).view("<f4")
+    """Probabilities as floats of 5 bits, 3 % off at most, enough to tell how far distributions diverge."""
+    return ((p.astype("<f4").view("<u4") + np.uint32(0x40000)) & np.uint32(0xFFF80000)).view("<f4")
 
 
 @dataclass
@@ -207,13 +211,16 @@ def question(block: Block, parts: int, split: int) -> Question:
 
 
 def sent(block: Block, q: Question) -> Iterator[tuple]:
-    """For each part: keys (48 bits, as differences), totals and splits of the rows, how many pairs each has; word, n and shorter of the pairs."""
+    """For each part: keys (48 bits, as differences), totals and splits of the rows, how many pairs each has; word, n and shorter of the pairs.
+
+    A block without training occurrences of a pair leaves shorter to those that have some.
+    """
     pairs, runs = q.pairs()
     ends = np.concatenate([[0], np.cumsum(runs)])
     for k in np.unique(q.part).tolist():
         a, b = np.searchsorted(q.part, k), np.searchsorted(q.part, k, "right")
         own, some = q.asked[a:b], pairs[ends[a] : ends[b]]
-        yield k, np.diff(q.key[a:b] >> np.uint64(16), prepend=np.uint64(0)).astype("<u8"), block.total[own].astype("<i8"), q.split[a:b].astype("<i4"), runs[a:b].astype("<i4"), block.word[q.symbol[some]].astype("<u8"), q.n[some].astype("<i4"), coarse(block.p[q.token[some]])
+        yield k, np.diff(q.key[a:b] >> np.uint64(16), prepend=np.uint64(0)).astype("<u8"), block.total[own].astype("<i8"), q.split[a:b].astype("<i4"), runs[a:b].astype("<i4"), block.word[q.symbol[some]].astype("<u8"), q.n[some].astype("<i4"), np.where(q.n[some] > 0, coarse(block.p[q.token[some]]), np.float32(0)).astype("<f4")
 
 
 def judged(key: np.ndarray, total: np.ndarray, splits: np.ndarray, runs: np.ndarray, word: np.ndarray, n: np.ndarray, shorter: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,7 +237,8 @@ def judged(key: np.ndarray, total: np.ndarray, splits: np.ndarray, runs: np.ndar
     counts = np.add.reduceat(n[order].astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
     entry = counts >= rule.least
     one = order[starts][entry]
-    sums = np.stack(rule.shares(np.repeat(at, runs)[one], counts[entry].astype(float), shorter[one].astype(float), len(names)), axis=1)
+    likely = np.maximum.reduceat(shorter[order], starts)[entry] if len(starts) else shorter
+    sums = np.stack(rule.shares(np.repeat(at, runs)[one], counts[entry].astype(float), likely.astype(float), len(names)), axis=1)
     totals, several = np.zeros(len(names)), np.zeros(len(names), bool)
     totals[at], several[at] = total, splits > 1
     state = rule.states(*sums[:, :3].T, totals)
@@ -296,7 +304,7 @@ def lm_score(docs: DataFrame, train, depth: int = 3, least: int = 2, discount: f
     """
     spark = docs.sparkSession
     blocks_at = table_path(spark, "lm")
-    blocks = to_blocks(docs.select("doc_id", "text", train.alias("mark")), splitter, "lm", path=blocks_at)
+    blocks = to_blocks(docs.select("doc_id", "text", train.alias("mark")), splitter, "lm", BLOCK, blocks_at)
     found = blocks.agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)), F.count("*")).first()
     tokens, n_blocks = int(found[0] or 0), found[1]
 
@@ -322,7 +330,7 @@ def lm_score(docs: DataFrame, train, depth: int = 3, least: int = 2, discount: f
             for block, nos, at, _ in rows:
                 yield _batch((part, block, nos, packed(total[at]), packed(symbol[at]), None, None), TOTALS)
 
-    parts_ = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks // 8)
+    parts_ = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks // 5)
     counted = dealt(blocks, parts_).mapInArrow(trimmed(totals), TOTALS)
     places = [table_path(spark, name) for name in ("lm_words", "lm_rows")]
     counted = written_by(counted.groupBy("block").agg(F.collect_list(F.struct("part", "nos", "c", "symbol", "end_at", "known")).alias("found")), "lm_words", "block", places[0])
@@ -343,7 +351,7 @@ def lm_score(docs: DataFrame, train, depth: int = 3, least: int = 2, discount: f
             for i in range(batch.num_rows):
                 sizes = np.asarray(batch[3][i].values, np.int64)
                 starts, at = by_document(sizes), unpacked(batch[4][i].as_py())
-                found = [(x["part"], *(unpacked(x[k]) for k in ("nos", "c", "symbol"))) for x in batch[5][i].as_py()]
+                found = [(x["part"], np.cumsum(unpacked(x["nos"])), unpacked(x["c"]), unpacked(x["symbol"])) for x in batch[5][i].as_py()]
                 c = np.zeros(sum(len(x[1]) for x in found), np.int64)
                 word = np.full(len(c), -1, np.int64)
                 for part, nos, n, s in found:

@@ -79,7 +79,8 @@ def vocabulary(spark: SparkSession, spec: str) -> DataFrame:
 def encode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     """One row per row of docs: doc_id, ids array<int>, those of the tokenizers library without added special tokens.
 
-    Null and empty texts give no ids. Rows that repeat a doc_id are encoded one by one; other columns are ignored.
+    Null and empty texts give no ids; texts of any length are encoded whole, a long one as a block of its own; an empty table gives an
+    empty result. Rows that repeat a doc_id are encoded one by one; other columns are ignored.
     """
     spark = docs.sparkSession
     spec = Path(tokenizer_file).read_text(encoding="utf-8")

@@ -57,7 +57,7 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", digest: Callable[[Colum
 
     Texts are equal when identical after lower-casing A-Z; a null text equals the empty one. keep is "smallest" or
     "largest": the row with that doc_id stays. A null doc_id loses against any other; where all ids of a group are null,
-    keep_id is null and the rows count as kept. Rows that repeat doc_id and text share one verdict. Columns besides
+    keep_id is null and the rows count as kept. Rows that repeat doc_id and text share one verdict. Texts of any length are compared whole. Columns besides
     doc_id and text are ignored, whatever their names; an empty table gives an empty result.
     """
     index = DigestIndex(docs.sparkSession, digest)

@@ -112,9 +112,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, copies, taken.
 
-    size counts the words of the text (null: 0), taken = size * copies with copies from 0 to `most`. A document without
+    size counts the words of the whole text (null: 0), taken = size * copies with copies from 0 to `most`. A document without
     words is never taken. Null sources are one source, the last; a null doc_id takes part like any other; rows that
-    repeat a doc_id are separate documents, told apart only by rank. Reruns agree. Other columns are ignored, but for those in carry (none named like a column of
+    repeat a doc_id are separate documents, told apart only by rank. Reruns agree. An empty table gives an empty result. Other columns are ignored, but for those in carry (none named like a column of
     the result), which are passed on.
     """
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")

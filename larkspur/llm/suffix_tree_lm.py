@@ -127,8 +127,9 @@ class Block:
     """A block's tokens under its own word numbers, and the tree restricted to them as deep as it has grown.
 
     symbol is -1 for rare words; word has each number's one in the corpus. context is the number of each token's past of
-    the depth that comes next, -1 if it is no candidate; key and total are those contexts' hashes and training counts. p
-    is each token's probability in the longest state so far.
+    the depth that comes next, -1 if it is no candidate; key and total are those contexts' hashes and training counts,
+    lone says which ones no other block has, in training or in held-out text. p is each token's probability in the longest
+    state so far.
     """
 
     symbol: np.ndarray
@@ -139,13 +140,14 @@ class Block:
     context: np.ndarray
     key: np.ndarray
     total: np.ndarray
+    lone: np.ndarray
 
 
-def planted(symbol: np.ndarray, first: np.ndarray, train: np.ndarray, word: np.ndarray, total: np.ndarray, end: int, p: np.ndarray, fewest: int) -> Block:
+def planted(symbol: np.ndarray, first: np.ndarray, train: np.ndarray, word: np.ndarray, total: np.ndarray, lone: np.ndarray, end: int, p: np.ndarray, fewest: int) -> Block:
     """A block with the root alone: the past of a text's first token is the end token, contexts don't cross texts."""
     context = np.where(first, end, np.concatenate([[end], symbol[:-1]])) if len(symbol) else symbol
     context = np.where((context >= 0) & (total[context] >= fewest), context, -1)
-    return Block(symbol, first, train, word, p, context, mixed(word, np.zeros(len(word), np.uint64)), total)
+    return Block(symbol, first, train, word, p, context, mixed(word, np.zeros(len(word), np.uint64)), total, lone)
 
 
 @dataclass
@@ -153,7 +155,7 @@ class Question:
     """A block's distinct (context, symbol) of one depth, and what goes to which part.
 
     on: tokens with a context; code: the number of each one's pair; context, symbol (-1 for rare), n and token by pair.
-    A context all of whose training occurrences lie in the block needs no question: own marks its pairs. part, asked, key:
+    A context that no other block has needs no question: own marks its pairs. part, asked, key:
     the other contexts and their hashes by part, one row for each split of a context; row: the row of each pair, -1 for
     rare symbols and pairs of own contexts.
     """
@@ -192,7 +194,7 @@ def question(block: Block, parts: int, split: int) -> Question:
     # a context's pairs are neighbours; it asks each of its splits, most contexts have one
     mine = np.flatnonzero(np.diff(context, prepend=-1))
     of = np.cumsum(np.diff(context, prepend=-1) != 0) - 1
-    whole = np.bincount(of, n, len(mine)) == block.total[context[mine]]
+    whole = block.lone[context[mine]]
     splits = np.where(whole, 0, 1 + block.total[context[mine]] // split)
     asked = np.repeat(context[mine], splits)
     begin = np.cumsum(splits) - splits
@@ -226,7 +228,7 @@ def sent(block: Block, q: Question) -> Iterator[tuple]:
 def judged(key: np.ndarray, total: np.ndarray, splits: np.ndarray, runs: np.ndarray, word: np.ndarray, n: np.ndarray, shorter: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The answers to all rows and pairs of a part, from any number of blocks, in their order.
 
-    Each pair's count in the corpus, 0 if it is no entry; each row's verdict: 0 for no state, 1 for a state, 2 for a split
+    Twice each pair's count in the corpus, 0 if it is no entry, and 1 more if it is in one block only; each row's verdict: 0 for no state, 1 for a state, 2 for a split
     context, whose sums have to be added up; four sums for each row, zeros but for splits and the last one of states.
     """
     names, at = np.unique(key, return_inverse=True)
@@ -246,7 +248,8 @@ def judged(key: np.ndarray, total: np.ndarray, splits: np.ndarray, runs: np.ndar
     sums[verdict == 0] = 0
     sums[verdict == 1, :3] = 0
     own = np.empty(len(order), np.int64)
-    own[order] = np.where(entry, counts, 0)[np.cumsum(new) - 1]
+    alone = np.diff(starts, append=len(order)) == 1  # a block has a pair once
+    own[order] = np.where(entry, 2 * counts + alone, 0)[np.cumsum(new) - 1]
     return own, verdict[at], sums[at]
 
 
@@ -254,7 +257,10 @@ def deepened(block: Block, q: Question, replies: dict[int, tuple[np.ndarray, np.
     """Scores a block's tokens one depth deeper, and gives it the contexts of the next one."""
     counts = np.zeros(len(q.row), np.int64)
     own, verdict, sums = (np.concatenate([np.zeros((0, *shape)), *(replies[k][i] for k in sorted(replies))]) for i, shape in enumerate(((), (), (4,))))
-    counts[q.pairs()[0]] = own
+    own = own.astype(np.int64)  # without replies it has no kind
+    counts[q.pairs()[0]] = own >> 1
+    lone = q.own.copy()
+    lone[q.pairs()[0]] = own & 1
     here = np.flatnonzero(q.own & (q.symbol >= 0) & (q.n >= rule.least))
     counts[here] = q.n[here]
     added = np.stack(rule.shares(q.context[here], q.n[here].astype(float), coarse(block.p[q.token[here]]).astype(float), len(block.key)), axis=1)
@@ -277,7 +283,7 @@ def deepened(block: Block, q: Question, replies: dict[int, tuple[np.ndarray, np.
     after = np.full(len(block.symbol), -1, np.int64)
     after[q.on] = number[q.code]
     block.context = np.where(block.first, -1, np.concatenate([[-1], after[:-1]])) if len(after) else after
-    block.key, block.total = mixed(block.key[q.context[entry]], block.word[q.symbol[entry]]), counts[entry]
+    block.key, block.total, block.lone = mixed(block.key[q.context[entry]], block.word[q.symbol[entry]]), counts[entry], lone[entry]
 
 
 def _batch(values: tuple, schema: str) -> pa.RecordBatch:
@@ -316,9 +322,10 @@ def lm_score(docs: DataFrame, train, depth: int = 3, least: int = 2, discount: f
         for part, rows in held.items():
             own = Numbers()
             rows = [(block, nos, np.fromiter(map(own.__getitem__, words), np.int64, len(words)), counts) for block, nos, words, counts in rows]
-            total = np.zeros(len(own), np.int64)
+            total, having = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
             for _, _, at, counts in rows:
                 total[at] += counts  # a block has a word once
+                having[at] += 1
             end = own.get(END)
             frequent = total >= least
             if end is not None:
@@ -328,7 +335,7 @@ def lm_score(docs: DataFrame, train, depth: int = 3, least: int = 2, discount: f
             symbol[~frequent] = 0
             yield _batch((part, -1 - part, None, None, None, None if end is None else int(symbol[end]) - 1, int((total > 0).sum())), TOTALS)
             for block, nos, at, _ in rows:
-                yield _batch((part, block, nos, packed(total[at]), packed(symbol[at]), None, None), TOTALS)
+                yield _batch((part, block, nos, pressed(2 * total[at] + (having[at] == 1)), packed(symbol[at]), None, None), TOTALS)
 
     parts_ = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks // 5)
     counted = dealt(blocks, parts_).mapInArrow(trimmed(totals), TOTALS)
@@ -351,17 +358,17 @@ def lm_score(docs: DataFrame, train, depth: int = 3, least: int = 2, discount: f
             for i in range(batch.num_rows):
                 sizes = np.asarray(batch[3][i].values, np.int64)
                 starts, at = by_document(sizes), unpacked(batch[4][i].as_py())
-                found = [(x["part"], np.cumsum(unpacked(x["nos"])), unpacked(x["c"]), unpacked(x["symbol"])) for x in batch[5][i].as_py()]
+                found = [(x["part"], np.cumsum(unpacked(x["nos"])), loose(x["c"], "<i8"), unpacked(x["symbol"])) for x in batch[5][i].as_py()]
                 c = np.zeros(sum(len(x[1]) for x in found), np.int64)
-                word = np.full(len(c), -1, np.int64)
+                word, lone = np.full(len(c), -1, np.int64), np.zeros(len(c), bool)
                 for part, nos, n, s in found:
-                    c[nos] = n
+                    c[nos], lone[nos] = n >> 1, n & 1
                     word[nos[s > 0]] = (s[s > 0] - 1) * parts_ + part
                 first = np.zeros(len(at), bool)
                 first[starts[:-1]] = True
                 marks = batch[2][i].values.to_numpy(zero_copy_only=False).astype(bool)
                 symbol = np.where(word >= 0, np.arange(len(word)), -1)[at]
-                block = planted(symbol, first, np.repeat(marks, sizes), word.view(np.uint64), c, int(np.flatnonzero(word == end)[0]), ((c + 0.5) / 10.0**base)[at], rule.fewest)
+                block = planted(symbol, first, np.repeat(marks, sizes), word.view(np.uint64), c, lone, int(np.flatnonzero(word == end)[0]), ((c + 0.5) / 10.0**base)[at], rule.fewest)
                 for d in range(depths):
                     replies = {x["part"]: (loose(x["counts"], "<i8"), loose(x["verdicts"], "u1"), loose(x["sums"], "<f8").reshape(4, -1).T) for x in batch[6 + d][i].as_py() or []}
                     deepened(block, question(block, parts_, split), replies, rule)

@@ -105,6 +105,14 @@ def test_scores_against_brute_force(docs, split, strictness):
     assert sum(r.score > r.base_score + 3 for r in got) > 50
 
 
+def test_one_block_learns_what_another_is_scored_by(docs):
+    """Contexts trained in one block only are states for held-out texts of others too."""
+    rows = [*corpus(), (204, "alpha beta gamma delta " * 12), *((k, "alpha beta gamma delta alpha beta") for k in range(205, 285, 4))]
+    got = lm.lm_score(docs(rows, 9), F.coalesce(F.col("doc_id") % 4 != 1, F.lit(True)), strictness=0.5).collect()
+    wanted, _ = brute(rows, lambda d: d is None or d % 4 != 1, strictness=0.5)
+    assert sorted((str(d), round(x, 5)) for (d, _), x in zip(rows, wanted)) == sorted((str(r.doc_id), round(r.score, 5)) for r in got)
+
+
 def test_nothing_to_learn_from(docs):
     got = lm.lm_score(docs([(1, "a b"), (2, None)]), F.lit(False)).collect()
     assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got) == [(1, 3, 0, 0, 0.0, 0.0), (2, 1, 0, 0, 0.0, 0.0)]

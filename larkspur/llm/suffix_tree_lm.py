@@ -129,7 +129,7 @@ class Block:
     symbol is -1 for rare words; word has each number's one in the corpus. context is the number of each token's past of
     the depth that comes next, -1 if it is no candidate; key and total are those contexts' hashes and training counts,
     lone says which ones no other block has, in training or in held-out text. p is each token's probability in the longest
-    state so far.
+    state so far; seen says which tokens are entries of the suffix of their context, since others can't be of the context.
     """
 
     symbol: np.ndarray
@@ -141,13 +141,14 @@ class Block:
     key: np.ndarray
     total: np.ndarray
     lone: np.ndarray
+    seen: np.ndarray
 
 
 def planted(symbol: np.ndarray, first: np.ndarray, train: np.ndarray, word: np.ndarray, total: np.ndarray, lone: np.ndarray, end: int, p: np.ndarray, fewest: int) -> Block:
     """A block with the root alone: the past of a text's first token is the end token, contexts don't cross texts."""
     context = np.where(first, end, np.concatenate([[end], symbol[:-1]])) if len(symbol) else symbol
     context = np.where((context >= 0) & (total[context] >= fewest), context, -1)
-    return Block(symbol, first, train, word, p, context, mixed(word, np.zeros(len(word), np.uint64)), total, lone)
+    return Block(symbol, first, train, word, p, context, mixed(word, np.zeros(len(word), np.uint64)), total, lone, symbol >= 0)
 
 
 @dataclass
@@ -155,9 +156,10 @@ class Question:
     """A block's distinct (context, symbol) of one depth, and what goes to which part.
 
     on: tokens with a context; code: the number of each one's pair; context, symbol (-1 for rare), n and token by pair.
+    rest: training occurrences of each row's context in the block without those of its pairs, 0 but in the first split.
     A context that no other block has needs no question: own marks its pairs. part, asked, key:
     the other contexts and their hashes by part, one row for each split of a context; row: the row of each pair, -1 for
-    rare symbols and pairs of own contexts.
+    what can't be an entry and pairs of own contexts.
     """
 
     on: np.ndarray
@@ -171,6 +173,7 @@ class Question:
     asked: np.ndarray
     key: np.ndarray
     split: np.ndarray
+    rest: np.ndarray
     row: np.ndarray
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
@@ -206,14 +209,18 @@ def question(block: Block, parts: int, split: int) -> Question:
     place = np.empty(len(asked), np.int64)
     place[by_part] = np.arange(len(asked))
     own, row = whole[of], np.full(len(symbol), -1, np.int64)
-    go = np.flatnonzero((symbol >= 0) & ~own)
+    go = np.flatnonzero(block.seen[token] & ~own)
+    left = np.bincount(of, n, len(mine)) - np.bincount(of[go], n[go], len(mine))
+    rest = np.zeros(len(asked), np.int64)
+    some = splits > 0
+    rest[begin[some]] = left[some]
     chosen = mixed(block.word[symbol[go]], np.full(1, 7, np.uint64)) % splits[of[go]].astype(np.uint64)
     row[go] = place[begin[of[go]] + chosen.astype(np.int64)]
-    return Question(on, code, context, symbol, n, token, own, part[by_part], asked[by_part], key[by_part], np.repeat(splits, splits)[by_part], row)
+    return Question(on, code, context, symbol, n, token, own, part[by_part], asked[by_part], key[by_part], np.repeat(splits, splits)[by_part], rest[by_part], row)
 
 
 def sent(block: Block, q: Question) -> Iterator[tuple]:
-    """For each part: keys (48 bits, as differences), totals and splits of the rows, how many pairs each has; word, n and shorter of the pairs.
+    """For each part: keys (48 bits, as differences), rests and splits of the rows, how many pairs each has; word, n and shorter of the pairs.
 
     A block without training occurrences of a pair leaves shorter to those that have some.
     """
@@ -221,11 +228,11 @@ def sent(block: Block, q: Question) -> Iterator[tuple]:
     ends = np.concatenate([[0], np.cumsum(runs)])
     for k in np.unique(q.part).tolist():
         a, b = np.searchsorted(q.part, k), np.searchsorted(q.part, k, "right")
-        own, some = q.asked[a:b], pairs[ends[a] : ends[b]]
-        yield k, np.diff(q.key[a:b] >> np.uint64(16), prepend=np.uint64(0)).astype("<u8"), block.total[own].astype("<i8"), q.split[a:b].astype("<i4"), runs[a:b].astype("<i4"), block.word[q.symbol[some]].astype("<u8"), q.n[some].astype("<i4"), np.where(q.n[some] > 0, coarse(block.p[q.token[some]]), np.float32(0)).astype("<f4")
+        some = pairs[ends[a] : ends[b]]
+        yield k, np.diff(q.key[a:b] >> np.uint64(16), prepend=np.uint64(0)).astype("<u8"), q.rest[a:b].astype("<i4"), q.split[a:b].astype("<i4"), runs[a:b].astype("<i4"), block.word[q.symbol[some]].astype("<u8"), q.n[some].astype("<i4"), np.where(q.n[some] > 0, coarse(block.p[q.token[some]]), np.float32(0)).astype("<f4")
 
 
-def judged(key: np.ndarray, total: np.ndarray, splits: np.ndarray, runs: np.ndarray, word: np.ndarray, n: np.ndarray, shorter: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def judged(key: np.ndarray, rest: np.ndarray, splits: np.ndarray, runs: np.ndarray, word: np.ndarray, n: np.ndarray, shorter: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The answers to all rows and pairs of a part, from any number of blocks, in their order.
 
     Twice each pair's count in the corpus, 0 if it is no entry, and 1 more if it is in one block only; each row's verdict: 0 for no state, 1 for a state, 2 for a split
@@ -241,8 +248,9 @@ def judged(key: np.ndarray, total: np.ndarray, splits: np.ndarray, runs: np.ndar
     one = order[starts][entry]
     likely = np.maximum.reduceat(shorter[order], starts)[entry] if len(starts) else shorter
     sums = np.stack(rule.shares(np.repeat(at, runs)[one], counts[entry].astype(float), likely.astype(float), len(names)), axis=1)
-    totals, several = np.zeros(len(names)), np.zeros(len(names), bool)
-    totals[at], several[at] = total, splits > 1
+    totals = np.bincount(at, rest, len(names)) + np.bincount(np.repeat(at, runs), n, len(names))  # every block that has a context asks
+    several = np.zeros(len(names), bool)
+    several[at] = splits > 1
     state = rule.states(*sums[:, :3].T, totals)
     verdict = np.where(several, 2, state).astype(np.uint8)
     sums[verdict == 0] = 0
@@ -278,6 +286,8 @@ def deepened(block: Block, q: Question, replies: dict[int, tuple[np.ndarray, np.
     inside = state[c]
     t, c, n = q.on[inside], c[inside], n[inside]
     block.p[t] = (np.where(n > 0, n - rule.discount, 0.0) + (block.total[c] - kept[c]) * block.p[t]) / block.total[c]
+    block.seen = np.zeros(len(block.symbol), bool)
+    block.seen[q.on] = counts[q.code] >= rule.least
     entry = counts >= rule.fewest
     number = np.where(entry, np.cumsum(entry) - 1, -1)
     after = np.full(len(block.symbol), -1, np.int64)
@@ -294,7 +304,7 @@ def _batch(values: tuple, schema: str) -> pa.RecordBatch:
 
 #: Rows of negative blocks hold what a part says of itself.
 TOTALS = "part int, block long, nos binary, c binary, symbol binary, end_at long, known long"
-QUESTIONS = "part int, block long, keys binary, totals binary, splits binary, runs binary, words binary, n binary, shorter binary"
+QUESTIONS = "part int, block long, keys binary, rests binary, splits binary, runs binary, words binary, n binary, shorter binary"
 REPLIES = "part int, block long, counts binary, verdicts binary, sums binary"
 
 
@@ -383,7 +393,7 @@ def lm_score(docs: DataFrame, train, depth: int = 3, least: int = 2, discount: f
 
         def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = defaultdict(list)
-            kinds = ("<u8", "<i8", "<i4", "<i4", "<u8", "<i4", "<f4")
+            kinds = ("<u8", "<i4", "<i4", "<i4", "<u8", "<i4", "<f4")
             for batch in batches:
                 for part, number, *values in zip(*(c.to_pylist() for c in batch.columns)):
                     held[part].append((number, values))

@@ -117,6 +117,15 @@ def ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both & ((1 << low) - 1), both >> low
 
 
+def hash_order(hashes: np.ndarray) -> np.ndarray:
+    """Order of 64-bit hashes, sorted as ordered() does by their leading bits; should these not decide, by all."""
+    low = np.uint64(max(len(hashes), 1).bit_length())
+    both = np.sort(((hashes >> low) << low) | np.arange(len(hashes), dtype=np.uint64))
+    order = (both & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    found = hashes[order]
+    return np.argsort(hashes, kind="stable") if (found[1:] < found[:-1]).any() else order
+
+
 def coarse(p: np.ndarray) -> np.ndarray:
     """Probabilities as floats of 5 bits, 3 % off at most, enough to tell how far distributions diverge."""
     return ((p.astype("<f4").view("<u4") + np.uint32(0x40000)) & np.uint32(0xFFF80000)).view("<f4")
@@ -204,7 +213,7 @@ def question(block: Block, parts: int, split: int) -> Question:
     number = np.arange(len(asked)) - np.repeat(begin, splits)
     key = mixed(block.key[asked], number.astype(np.uint64))
     part = (key % np.uint64(parts)).astype(np.int64)
-    by_part = np.argsort(key, kind="stable")  # rising keys in each part
+    by_part = hash_order(key)  # rising keys in each part
     by_part = by_part[np.argsort(part[by_part].astype(np.uint16) if parts < 1 << 16 else part[by_part], kind="stable")]
     place = np.empty(len(asked), np.int64)
     place[by_part] = np.arange(len(asked))
@@ -240,7 +249,7 @@ def judged(key: np.ndarray, rest: np.ndarray, splits: np.ndarray, runs: np.ndarr
     """
     names, at = np.unique(key, return_inverse=True)
     pair = mixed(np.repeat(key, runs), word)
-    order = np.argsort(pair)
+    order = hash_order(pair)
     new = np.diff(pair[order], prepend=~pair[order[:1]]) != 0
     starts = np.flatnonzero(new)
     counts = np.add.reduceat(n[order].astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)

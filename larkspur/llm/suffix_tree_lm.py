@@ -36,7 +36,7 @@ END = b""
 
 
 #: Text in a block: larger ones hold fewer (context, word) pairs in all.
-BLOCK = 9 << 20
+BLOCK = 11 << 20
 
 
 @dataclass(frozen=True)

@@ -126,3 +126,27 @@ def test_rare_contexts_count_in_a_large_corpus(docs):
     rows += [(1000 + i, "alpha beta gamma delta epsilon zeta") for i in range(7)]
     got = {r.doc_id: r for r in lm.lm_score(docs(rows), F.col("doc_id") < 1006).collect()}
     assert got[1006].train_tokens > 400_000 and got[1006].score > got[1006].base_score + 3
+
+
+def test_contexts_of_few_words_travel_in_less_than_hashes():
+    """Bytes that a block of 400,000 tokens sends at the first two depths, and that what arrives is what was sent."""
+    rng = np.random.default_rng(2)
+    symbol = np.minimum(rng.zipf(1.3, 400_000) - 1, 40_000)
+    c = np.bincount(symbol, minlength=40_001)
+    first = np.arange(len(symbol)) % 300 == 0
+    word = np.arange(len(c)).astype(np.uint64) * np.uint64(51) + rng.integers(0, 51, len(c)).astype(np.uint64)
+    rule = lm.Rule(2, 0.75, 2.0, len(symbol))
+    block = lm.planted(symbol, first, np.ones(len(symbol), bool), word, 5 * c, np.zeros(len(c), bool), 0, ((c + 0.5) / len(symbol))[symbol], rule.fewest)
+    for most in (3.4, 4.7):
+        q = lm.question(block, 50, 1 << 23)
+        size, replies, spelled = 0, {}, block.spelled
+        for part, *values in lm.sent(block, q):
+            some = q.part == part
+            assert (lm.named(values[0], values[2], spelled) == q.key[some]).all()
+            sent = q.pairs()[0][np.repeat(some, q.pairs()[1])]
+            assert (lm.climbed(values[5], lm.begins(values[4])) == word[q.symbol[sent]]).all()
+            assert (lm.lengthened(values[7], word[q.symbol[sent]], values[6], len(block.path)) == lm.coarse(block.p[q.token[sent]])).all()
+            size += sum(len(lm.pressed(x)) for v in values for x in (v if isinstance(v, list) else [v]))
+            replies[part] = 8 * q.n[sent], np.zeros(some.sum()), np.zeros((some.sum(), 4))
+        assert size < most * (q.row >= 0).sum()
+        lm.deepened(block, q, replies, rule)
